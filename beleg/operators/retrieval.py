@@ -28,12 +28,21 @@ def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
 
 
+def corpus_statistics(passages: DataFrame, text: str = "text") -> DataFrame:
+    """One row (n, mean): passages and their mean length in words. Worth storing beside a corpus."""
+    return passages.select(F.size(tokens(F.col(text))).alias("length")).agg(
+        F.count("*").alias("n"), F.avg("length").alias("mean")
+    )
+
+
 def retrieve(
     queries: DataFrame, passages: DataFrame, breadth: int = RETRIEVAL_BREADTH, text: str = "text",
+    corpus: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``breadth`` passages per query by BM25: (query_id, passage_id, score, rank).
 
-    ``queries(query_id, question)``, ``passages(passage_id, text)``. Words that no question
+    ``queries(query_id, question)``, ``passages(passage_id, text)``; ``corpus`` saves one scan
+    when its statistics are at hand. Words that no question
     uses are dropped before any exchange; what is shuffled is one row per passage and
     question word, already counted map-side. No word is cut for being frequent: the join on
     the word leaves its strategy to Spark (broadcast under its size threshold, else a
@@ -43,9 +52,7 @@ def retrieve(
     words = passages.select("passage_id", tokens(F.col(text)).alias("_tokens")).select(
         "passage_id", F.size("_tokens").alias("length"), F.explode("_tokens").alias("token")
     )
-    corpus = passages.select(F.size(tokens(F.col(text))).alias("length")).agg(
-        F.count("*").alias("n"), F.avg("length").alias("mean")
-    )
+    corpus = corpus_statistics(passages, text) if corpus is None else corpus
     total, mean = corpus.select("n").scalar(), corpus.select("mean").scalar()
 
     counted = words.join(terms.select("token").distinct(), "token", "left_semi").groupBy(
