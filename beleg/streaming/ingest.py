@@ -34,6 +34,11 @@ def next_sequence(log: DataFrame) -> Column:
     return F.lit(0 if last is None else last + 1).cast("bigint")
 
 
+def _saved(spark: SparkSession, path: str, schema: str, seq: Column) -> DataFrame:
+    """What a run has saved, read back from the log rather than computed again."""
+    return read_log(spark, path, schema).filter(F.col("ingest_seq") == seq)
+
+
 def ingest_pending(spark: SparkSession, source_root: str, docs_path: str, prefix: str = "") -> None:
     """One batch: list without bodies, read only pending objects, append their records."""
     log = records_or_empty(spark, docs_path, DOCUMENT_SCHEMA)
@@ -62,10 +67,10 @@ def incremental_ingest(
         newest = batch.groupBy("key").agg(F.max_by(F.struct("*"), "last_modified").alias("o")).select("o.*")
         listed = objects_from_listing(newest)
         pending = pending_objects(listed, known, root).join(newest.select("key", "content"), "key")
-        docs = ingest_text(pending, root).select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", next_sequence(log))
-        append_log(docs, docs_path)
+        seq = next_sequence(log)
+        append_log(ingest_text(pending, root).select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", seq), docs_path)
         if on_document is not None:
-            on_document(docs, batch_id)
+            on_document(_saved(spark, docs_path, DOCUMENT_SCHEMA, seq), batch_id)
 
     run_available(objects, save, checkpoint)
 
@@ -77,10 +82,10 @@ def incremental_extract(
     """A stream of documents: each micro-batch appends the extractions that are still missing."""
     def save(batch: DataFrame, batch_id: int) -> None:
         done = records_or_empty(batch.sparkSession, extractions_path, EXTRACTION_SCHEMA)
-        found = extract(pending_extractions(batch, done)).withColumn("ingest_seq", next_sequence(done))
-        append_log(found, extractions_path)
+        seq = next_sequence(done)
+        append_log(extract(pending_extractions(batch, done)).withColumn("ingest_seq", seq), extractions_path)
         if on_graph is not None:
-            on_graph(found, batch_id)
+            on_graph(_saved(batch.sparkSession, extractions_path, EXTRACTION_SCHEMA, seq), batch_id)
 
     run_available(docs, save, checkpoint)
 
@@ -98,3 +103,11 @@ def upsert_latest(records: DataFrame, table_path: str, checkpoint: str, schema:
         merged.write.mode("overwrite").parquet(f"{table_path}/v{batch_id}")
 
     run_available(records, merge, checkpoint)
+
+
+def latest_version(spark: SparkSession, table_path: str, schema: str) -> DataFrame:
+    """The newest table of ``upsert_latest``, chosen from the versions' names."""
+    versions = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(table_path).select(
+        F.regexp_extract("path", r"/v(\d+)/", 1).cast("int").alias("v")
+    )
+    return spark.read.schema(schema).parquet(f"{table_path}/v{versions.agg(F.max('v')).first()[0]}")
