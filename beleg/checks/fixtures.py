@@ -97,7 +97,7 @@ FIXTURES: dict[str, str] = {
     # Passages with many equal texts and scores; the text states what the annotation must find.
     "passages": """
         SELECT l_suppkey AS query_id,
-               row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS rank,
+               cast(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS bigint) AS rank,
                l_discount AS score,
                concat(CASE l_partkey % 12
                           WHEN 0 THEN 'Zubau  von ' WHEN 1 THEN 'Verkauf ' WHEN 2 THEN 'Total installierte Leistung '

@@ -29,7 +29,7 @@ PARTS: dict[str, str] = {
             substring(sha256(f.doc_id || '|' || lower(trim(s)) || '|' || lower(trim(p)) || '|' || lower(trim(o))), 1, 16) AS aid,
             substring(sha256(f.doc_id || '|' || lower(trim(s))), 1, 16) AS sid, substring(sha256(f.doc_id || '|' || lower(trim(o))), 1, 16) AS oid,
             regexp_replace(trim(p), '[^A-Za-z0-9]', '_', 'g') AS slug,
-            strftime(make_timestamp((1704067200 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS at
+            strftime(make_timestamp((1704067200 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS extracted
         FROM facts f JOIN graph_docs g ON f.doc_id = g.doc_id""",
     "triples": _rows("graph_docs",
             _iri(f"'{B}doc/' || doc_id", RDF + "type", f"'{B}Document'"),
@@ -58,7 +58,7 @@ PARTS: dict[str, str] = {
             _iri(f"'{B}assertion/' || aid", RDF + "object", f"'{B}entity/' || oid"),
             _iri(f"'{B}assertion/' || aid", B + "derivedFrom", f"'{B}doc/' || doc_id"),
             _lit(f"'{B}assertion/' || aid", B + "extractionModel", f"'{MODEL}'"),
-            _lit(f"'{B}assertion/' || aid", B + "extractedAt", "at", "dateTime")),
+            _lit(f"'{B}assertion/' || aid", B + "extractedAt", "extracted", "dateTime")),
     # Labels against the vocabulary.
     "resolved": """SELECT lid, label_text,
             CASE WHEN v.key IS NULL THEN 'unresolved' WHEN v.senses IS NOT NULL THEN 'contested' WHEN v.generic THEN 'generic' ELSE 'best' END AS outcome,

@@ -308,7 +308,7 @@ RANKED_SQL = """
 
 UNIQUE_SQL = """
     SELECT query_id, min(pos) AS first_pos, arg_max(passage_id, (score, -pos)) AS passage_id, max(score) AS score,
-           arg_max(title, (score, -pos)) AS title, arg_max(media_type, (score, -pos)) AS media_type, arg_max(text, (score, -pos)) AS text
+           arg_max(title, (score, -pos)) AS title, arg_max_null(media_type, (score, -pos)) AS media_type, arg_max(text, (score, -pos)) AS text
     FROM {ranked} GROUP BY query_id, trim(regexp_replace(text, '\\s+', ' ', 'g'))"""
 
 LIMIT_SQL = """
@@ -347,7 +347,7 @@ TIMELINE_QUERIES = """SELECT request_id || '|' || year AS query_id, request_id,
                           **core_ctes("year_questions", "line_passages", 3),
                           merged_years="""
     SELECT request_id, min(p) AS pos, md5(arg_max(text, (score, -p))) AS text_digest, max(score) AS score, arg_max(title, (score, -p)) AS title,
-           arg_max(media_type, (score, -p)) AS media_type, array_to_string(list_sort(list(DISTINCT year)), ';') AS queried_years
+           arg_max_null(media_type, (score, -p)) AS media_type, array_to_string(list_sort(list(DISTINCT year)), ';') AS queried_years
     FROM (SELECT b.*, request_id, year, (year - start_year) * 3 + pos AS p FROM best_hits b JOIN year_questions USING (query_id)) t
     GROUP BY request_id, trim(regexp_replace(text, '\\s+', ' ', 'g'))"""))
 def timeline(d: Inputs) -> DataFrame:
