@@ -82,7 +82,7 @@ def read_log(d: Inputs) -> DataFrame:
     return records.read_log(d.spark, path).select("doc_id", "source_uri", "size_bytes", "etag")
 
 
-@query("s5b_skipped_lines", sql("SELECT count_if(doc_id % 10 NOT IN (3, 7)) AS records, count_if(doc_id % 10 = 3) AS skipped FROM documents"))
+@query("s5b_skipped_lines", sql("SELECT cast(count_if(doc_id % 10 NOT IN (3, 7)) AS bigint) AS records, cast(count_if(doc_id % 10 = 3) AS bigint) AS skipped FROM documents"))
 def skipped_lines(d: Inputs) -> DataFrame:
     return records.corrupt_count(records.parse_records(d.log_lines.select("value"), records.DOCUMENT_SCHEMA))
 
@@ -252,23 +252,19 @@ MATCHING = {
               + _TOKENS.format("regexp_extract(title, '(?i)^\\d{{4}}-\\d{{2}}-\\d{{2}}_(.+)\\.pdf$', 1)").replace("{{", "{").replace("}}", "}")
               + " AS w FROM {names}",
     "held": "SELECT pub_id, pub_date, file_type, page_pos, " + _TOKENS.format("title") + " AS h FROM {catalogue}",
-    "pairs": "SELECT wk.title, wk.doc_date, wk.w, p.* FROM (SELECT title, doc_date, w, unnest(w) AS t FROM wanted) wk JOIN (SELECT *, unnest(h) AS t FROM held) p USING (t)",
-    "scored": """SELECT title, pub_id, page_pos, whole, longest, score FROM (
-        SELECT DISTINCT title, pub_id, page_pos, len(list_intersect(w, h)) = len(w) AS whole,
-               len(list_intersect(h, list_sort(w, lambda_key)[1:3])) = least(len(w), 3) AS longest,
-               2 * (len(list_intersect(w, h)) / len(h)) * (len(list_intersect(w, h)) / len(w)) / ((len(list_intersect(w, h)) / len(h)) + (len(list_intersect(w, h)) / len(w)))
+    "set_pairs": """SELECT w, h, len(list_intersect(w, h)) AS shared,
+            len(list_intersect(h, list_transform(list_sort(list_transform(w, lambda t: {'n': -len(t), 't': t}))[1:3], lambda x: x.t))) = least(len(w), 3) AS longest
+        FROM (SELECT DISTINCT w FROM wanted) a, (SELECT DISTINCT h FROM held) b WHERE len(list_intersect(w, h)) > 0""",
+    "scored": """SELECT * FROM (
+        SELECT title, pub_id, page_pos, shared = len(w) AS whole, longest,
+               2 * (shared / len(h)) * (shared / len(w)) / ((shared / len(h)) + (shared / len(w)))
                + CASE WHEN doc_date = pub_date THEN 0.5::double ELSE 0::double END + CASE WHEN file_type = 'PDF' THEN 0.25::double ELSE 0::double END AS score
-        FROM pairs) s WHERE score >= 0.65""",
+        FROM wanted JOIN set_pairs USING (w) JOIN held USING (h)) s WHERE score >= 0.65""",
 }
 
 
 def _matching(names: str, entries: str) -> dict[str, str]:
-    ctes = {k: v.replace("{names}", names).replace("{catalogue}", entries) for k, v in MATCHING.items()}
-    # The three longest tokens, longest first and then by spelling.
-    ctes["scored"] = ctes["scored"].replace(
-        "list_sort(w, lambda_key)[1:3]",
-        "list_transform(list_sort(list_transform(w, lambda t: {'n': -len(t), 't': t}))[1:3], lambda x: x.t)")
-    return ctes
+    return {k: v.replace("{names}", names).replace("{catalogue}", entries) for k, v in MATCHING.items()}
 
 
 _BEST = """
@@ -331,7 +327,7 @@ def pending_extractions(d: Inputs) -> DataFrame:
 
 
 @query("j7_retrieval_coverage", sql("""
-    SELECT count(*) AS checked, count_if(o_orderkey % 7 <> 0) AS matched FROM lineitem JOIN graph_docs ON o_orderkey = l_orderkey WHERE l_linenumber <> 3"""))
+    SELECT count(*) AS checked, cast(count_if(o_orderkey % 7 <> 0) AS bigint) AS matched FROM lineitem JOIN graph_docs ON o_orderkey = l_orderkey WHERE l_linenumber <> 3"""))
 def retrieval_coverage(d: Inputs) -> DataFrame:
     hits = d.lineitem.join(d.graph_docs, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.when(F.col("l_linenumber") == 3, None).when(F.col("o_orderkey") % 7 == 0, F.concat("source_uri", F.lit(".old"))).otherwise(
@@ -340,7 +336,7 @@ def retrieval_coverage(d: Inputs) -> DataFrame:
 
 
 @query("j8_endpoint_coverage", sql("""
-    SELECT doc_id, count(*) AS endpoints, count_if(label IN (SELECT r_name FROM region)) AS missing FROM (
+    SELECT doc_id, count(*) AS endpoints, cast(count_if(label IN (SELECT r_name FROM region)) AS bigint) AS missing FROM (
         SELECT doc_id, s AS label FROM facts UNION SELECT doc_id, o FROM facts) e GROUP BY doc_id"""))
 def endpoint_coverage(d: Inputs) -> DataFrame:
     return documents.endpoint_coverage(extraction_records(d)).select(
@@ -356,7 +352,7 @@ def summarize_by_extension(d: Inputs) -> DataFrame:
 
 
 @query("a13_build_summary", sql("""
-    SELECT (SELECT count(*) FROM graph_docs) AS documents, (SELECT count_if(content_type = 'application/pdf' AND trim(text) = '') FROM graph_docs) AS pdfs_without_text,
+    SELECT (SELECT count(*) FROM graph_docs) AS documents, (SELECT cast(count_if(content_type = 'application/pdf' AND trim(text) = '') AS bigint) FROM graph_docs) AS pdfs_without_text,
            (SELECT count(DISTINCT doc_id) FROM facts) AS documents_with_extractions, (SELECT count(*) FROM lab) AS label_forms,
            (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM rel) AS relations"""))
 def build_summary(d: Inputs) -> DataFrame:

@@ -9,10 +9,11 @@ depends on nothing else but date and type, so a set keeps one entry per date and
 entry overall. Candidates then come from two equi-joins that together lose no acceptable pair:
 
 * same date and a shared token (any overlap may be enough with the date bonus);
-* a shared *prefix* token for other dates, where acceptance needs F1 >= 0.65 - 0.25. In a
-  fixed order of tokens (long ones first), two sets that similar share a token within their
-  first ``n - ceil(n t / (2 - t)) + 1`` tokens, so the common short words at the end of the
-  order are never join keys.
+* whatever the date, between distinct token sets only, a shared *prefix* token: without the
+  date bonus acceptance needs F1 >= 0.65 - 0.25, and in a fixed order of tokens (long ones
+  first) two sets that similar share a token within their first
+  ``n - ceil(n t / (2 - t)) + 1`` tokens, so the common short words at the end of the order
+  are not join keys.
 """
 
 from __future__ import annotations
@@ -72,68 +73,57 @@ def _entries(publications: DataFrame, *keys: str) -> DataFrame:
     ).select("held_key", *keys, "entry.*")
 
 
-def _accepted(score: Column) -> Column:
-    return score >= M.MATCH_THRESHOLD
+def _hits(pairs: DataFrame, bonus: float, *keys: str, keep: Column | None = None) -> DataFrame:
+    """Best acceptable entry per key as a struct that orders by preference.
 
-
-def _with_score(pairs: DataFrame, same_date: Column) -> DataFrame:
-    bonus = F.when(same_date, F.lit(M.DATE_BONUS)).otherwise(F.lit(0.0))
-    score = similarity(F.col("wanted"), F.col("held")) + bonus
-    return pairs.withColumn("score", score + F.when(F.col("pdf"), F.lit(M.PDF_BONUS)).otherwise(F.lit(0.0)))
-
-
-def _links(names: DataFrame, best: DataFrame) -> DataFrame:
-    key = [names["wanted_key"] == best["_key"], names["doc_date"].eqNullSafe(best["_date"])]
-    return names.join(best, key, "left").select(
-        "title", "pub_id", F.round("score", 6).alias("score"),
-        F.concat(F.lit(M.DOWNLOAD_URL_PREFIX), F.col("pub_id")).alias("download_url"),
-    )
+    A pair may come once per shared token; the maximum does not mind, so no distinct is needed.
+    """
+    f1 = similarity(F.col("wanted"), F.col("held"))
+    score = f1 + F.lit(bonus) + F.when(F.col("pdf"), F.lit(M.PDF_BONUS)).otherwise(F.lit(0.0))
+    whole = F.lit(True) if keep is None else F.size(F.array_except("wanted", "held")) == 0
+    kept = pairs if keep is None else pairs.filter(keep)
+    hit = F.struct(whole.alias("whole"), F.col("score"), (-F.col("page_pos")).alias("order"), "pub_id")
+    return kept.withColumn("score", score).filter(F.col("score") >= M.MATCH_THRESHOLD).groupBy(*keys).agg(F.max(hit).alias("hit"))
 
 
-def match_publications(doc_names: DataFrame, publications: DataFrame, title: str = "title") -> DataFrame:
-    """(title, pub_id, score, download_url) for every usable distinct title; nulls when unmatched."""
+def _match(
+    doc_names: DataFrame, publications: DataFrame, title: str, wanted_keys: Column, prefix_keys: Column, held_keys: Column,
+    held_prefix: Column, keep: Column | None = None,
+) -> DataFrame:
     names, wanted = _wanted(doc_names, title)
-    any_date = _entries(publications)
-    by_date = _entries(publications, "pub_date")
-
     same_date = (
-        wanted.filter(F.col("doc_date").isNotNull()).withColumn("token", F.explode("wanted"))
-        .join(by_date.withColumn("token", F.explode("held")).withColumnRenamed("pub_date", "doc_date"), ["doc_date", "token"])
-        .dropDuplicates(["doc_date", "wanted_key", "held_key"])
-    )
-    other_date = (
-        wanted.withColumn("token", F.explode(_prefix(F.col("wanted"))))
-        .join(any_date.withColumn("token", F.explode(_prefix(F.col("held")))), "token")
-        .dropDuplicates(["doc_date", "wanted_key", "held_key"])
+        wanted.filter(F.col("doc_date").isNotNull()).withColumn("token", F.explode(wanted_keys))
+        .join(_entries(publications, "pub_date").withColumn("token", F.explode(held_keys)).withColumnRenamed("pub_date", "doc_date"),
+              ["doc_date", "token"])
     )
-    shown = ["doc_date", "wanted_key", "pub_id", "page_pos", "score"]
-    scored = _with_score(same_date, F.lit(True)).select(*shown).unionByName(
-        _with_score(other_date, F.lit(False)).select(*shown)
+    any_date = (
+        wanted.select("wanted_key", "wanted").dropDuplicates(["wanted_key"]).withColumn("token", F.explode(prefix_keys))
+        .join(_entries(publications).withColumn("token", F.explode(held_prefix)), "token")
     )
-    best = scored.filter(_accepted(F.col("score"))).groupBy("doc_date", "wanted_key").agg(
-        F.max_by(F.struct("pub_id", "score"), F.struct(F.col("score"), -F.col("page_pos"))).alias("hit")
+    dated = _hits(same_date, M.DATE_BONUS, "doc_date", "wanted_key", keep=keep)
+    undated = _hits(any_date, 0.0, "wanted_key", keep=keep)
+    linked = names.join(dated.withColumnRenamed("hit", "_dated"), ["doc_date", "wanted_key"], "left").join(
+        undated.withColumnRenamed("hit", "_undated"), "wanted_key", "left"
+    ).withColumn("hit", F.greatest("_dated", "_undated"))
+    return linked.select(
+        "title", F.col("hit.pub_id").alias("pub_id"), F.round("hit.score", 6).alias("score"),
+        F.concat(F.lit(M.DOWNLOAD_URL_PREFIX), F.col("hit.pub_id")).alias("download_url"),
     )
-    return _links(names, best.select(F.col("doc_date").alias("_date"), F.col("wanted_key").alias("_key"), "hit.*"))
+
+
+def match_publications(doc_names: DataFrame, publications: DataFrame, title: str = "title") -> DataFrame:
+    """(title, pub_id, score, download_url) for every usable distinct title; nulls when unmatched."""
+    return _match(doc_names, publications, title, F.col("wanted"), _prefix(F.col("wanted")), F.col("held"), _prefix(F.col("held")))
 
 
 def match_with_fallback(doc_names: DataFrame, publications: DataFrame, title: str = "title") -> DataFrame:
     """As a conjunctive search: entries holding the whole slug first, else its three longest tokens.
 
-    Both searches require the longest token, so one join on it serves both.
+    Both searches require the longest token, so joining on it alone serves both.
     """
-    names, wanted = _wanted(doc_names, title)
-    entries = _entries(publications, "pub_date")
-    longest = F.slice("wanted", 1, 3)
-    pairs = wanted.withColumn("token", F.element_at("wanted", 1)).join(
-        entries.withColumn("token", F.explode("held")), "token"
-    ).filter(F.size(F.array_except(longest, F.col("held"))) == 0)
-    scored = _with_score(pairs, F.coalesce(F.col("pub_date") == F.col("doc_date"), F.lit(False))).filter(
-        _accepted(F.col("score"))
-    ).withColumn("whole", F.size(F.array_except("wanted", "held")) == 0)
-    best = scored.groupBy("doc_date", "wanted_key").agg(
-        F.max_by(F.struct("pub_id", "score"), F.struct(F.col("whole"), F.col("score"), -F.col("page_pos"))).alias("hit")
-    )
-    return _links(names, best.select(F.col("doc_date").alias("_date"), F.col("wanted_key").alias("_key"), "hit.*"))
+    anchor = F.slice("wanted", 1, 1)
+    holds_longest = F.size(F.array_except(F.slice("wanted", 1, 3), F.col("held"))) == 0
+    return _match(doc_names, publications, title, anchor, anchor, F.col("held"), F.col("held"), holds_longest)
 
 
 def attach_download_urls(

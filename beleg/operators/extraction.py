@@ -74,12 +74,17 @@ def extract_with_gazetteer(docs: DataFrame, labels: DataFrame, model: str = "gaz
     A document's mentions form one window: bounded by its length, however common a label is.
     """
     mentions = gazetteer_mentions(docs, labels)
+    counts = mentions.groupBy("doc_id", "label").agg(F.count("*").alias("n")).groupBy("doc_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("mention_counts")
+    )
     following = Window.partitionBy("doc_id").orderBy("position", "label")
-    steps = mentions.withColumn("_next", F.lead("label").over(following)).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("label")).alias("entities"),
-        F.array_sort(F.collect_set(F.when(
-            F.col("_next").isNotNull() & (F.col("_next") != F.col("label")),
-            F.struct(F.col("label").alias("s"), F.lit("mentioned with").alias("p"), F.col("_next").alias("o")),
-        ))).alias("relations"),
+    steps = mentions.withColumn("_next", F.lead("label").over(following)).filter(F.col("_next") != F.col("label"))
+    relations = steps.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(
+        F.col("label").alias("s"), F.lit("mentioned with").alias("p"), F.col("_next").alias("o")))).alias("relations"))
+    found = docs.filter(~is_blank(F.col("text"))).select("doc_id").join(counts, "doc_id", "left").join(relations, "doc_id", "left")
+    return found.select(
+        "doc_id", F.coalesce(F.map_keys("mention_counts"), F.array().cast("array<string>")).alias("entities"),
+        F.coalesce("relations", F.array().cast(_RELATION)).alias("relations"), F.lit(model).alias("model"),
+        F.current_timestamp().alias("extracted_at"),
+        F.coalesce("mention_counts", F.create_map().cast("map<string,bigint>")).alias("mention_counts"),
     )
-    return _finish(steps, docs, model)

@@ -53,7 +53,8 @@ def retrieve(
         "passage_id", F.size("_tokens").alias("length"), F.explode("_tokens").alias("token")
     )
     corpus = corpus_statistics(passages, text) if corpus is None else corpus
-    total, mean = corpus.select("n").scalar(), corpus.select("mean").scalar()
+    statistics = corpus.select(F.struct("n", "mean")).scalar()
+    total, mean = statistics["n"], statistics["mean"]
 
     counted = words.join(terms.select("token").distinct(), "token", "left_semi").groupBy(
         "token", "passage_id", "length"
