@@ -49,11 +49,18 @@ def _prefix(tokens: Column) -> Column:
     return F.slice(tokens, F.lit(1), (size - F.greatest(needed, F.lit(1)) + 1).cast("int"))
 
 
+def _once(*columns: Column) -> Column:
+    """Several columns behind a generator, so that later uses refer to them instead of
+    repeating the folding they come from."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def _wanted(doc_names: DataFrame, title: str) -> tuple[DataFrame, DataFrame]:
     """Distinct titles with date and token set, and the distinct (date, token set) pairs."""
-    names = doc_names.select(F.col(title).alias("title")).filter(F.col("title").isNotNull()).distinct().select(
-        "title", published_at(F.col("title")).alias("doc_date"), title_tokens(title_slug(F.col("title"))).alias("wanted")
-    )
+    titles = doc_names.select(F.col(title).alias("title")).filter(F.col("title").isNotNull()).distinct()
+    names = titles.select("title", _once(
+        published_at(F.col("title")).alias("doc_date"), title_tokens(title_slug(F.col("title"))).alias("wanted")
+    ))
     named = names.filter(F.size("wanted") > 0).withColumn("wanted_key", F.concat_ws(" ", "wanted"))
     return named.select("title", "doc_date", "wanted_key"), named.select("doc_date", "wanted_key", "wanted").dropDuplicates(
         ["doc_date", "wanted_key"]
@@ -65,7 +72,7 @@ def _entries(publications: DataFrame, *keys: str) -> DataFrame:
     is_pdf = F.coalesce(F.col("file_type") == "PDF", F.lit(False))
     entries = publications.select(
         F.col("pub_id").cast("string").alias("pub_id"), "pub_date", "page_pos", is_pdf.alias("pdf"),
-        title_tokens(F.coalesce("title", F.lit(""))).alias("held"),
+        _once(title_tokens(F.coalesce("title", F.lit(""))).alias("held")),
     ).filter(F.size("held") > 0)
     best = F.max_by(F.struct("pub_id", "page_pos", "pdf", "held"), F.struct(F.col("pdf"), -F.col("page_pos")))
     return entries.withColumn("held_key", F.concat_ws(" ", "held")).groupBy("held_key", *keys).agg(

@@ -26,22 +26,16 @@ def by_suffix(triples: DataFrame, suffix: str) -> DataFrame:
     return triples.filter(F.col("p").endswith(f"/{suffix}")).select("s", "o")
 
 
-def _desuffixed(key: Column, suffixes: Column) -> Column:
-    """The key without the first stop suffix it ends on, when something is left."""
-    hits = F.filter(suffixes, lambda x: key.endswith(x) & (F.length(key) > F.length(x)))
-    return F.when(F.size(hits) > 0, F.substring(key, F.lit(1), F.length(key) - F.length(F.element_at(hits, 1))))
-
-
 def resolve_labels(labels: DataFrame, vocab: Vocabulary, text: str = "label_text") -> DataFrame:
     """Adds outcome (contested, best, generic, unresolved), rule, slug, term_type, senses.
 
     Keys are tried in rule order: the normalised label, its accent-free form, that without a
     stop suffix. The first key the vocabulary knows decides.
     """
-    suffixes = vocab.meta.select("stop_suffixes").scalar()
+    suffix = vocab.meta.select("suffix_pattern").scalar()
     keyed = labels.withColumn("_exact", normalise_label(F.col(text)))
     keyed = keyed.withColumn("_ascii_fold", strip_accents(F.col("_exact")))
-    keyed = keyed.withColumn("_desuffix", _desuffixed(F.col("_ascii_fold"), suffixes))
+    keyed = keyed.withColumn("_desuffix", F.regexp_replace("_ascii_fold", suffix, ""))
     rules = ("exact", "ascii_fold", "desuffix")
     for rule in rules:
         entry = vocab.keys.select(

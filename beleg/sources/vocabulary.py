@@ -29,7 +29,7 @@ SCHEMA = """
 class Vocabulary:
     """Tables of one vocabulary version."""
 
-    meta: DataFrame           # schema_version, content_hash, term_iri_base, vocab_iri_base, stop_suffixes
+    meta: DataFrame           # schema_version, content_hash, term_iri_base, vocab_iri_base, suffix_pattern
     terms: DataFrame          # slug, term, type, subdomain
     keys: DataFrame           # key, slug, type, generic, senses: one row per alias or contested key
     predicate_map: DataFrame  # raw, canonical
@@ -40,7 +40,9 @@ def vocabulary_tables(raw: DataFrame) -> Vocabulary:
     """Tables of a one-row DataFrame with the vocabulary's schema."""
     meta = raw.select(
         "schema_version", "content_hash", "term_iri_base", "vocab_iri_base",
-        F.coalesce("normalization.stop_suffixes", F.array().cast("array<string>")).alias("stop_suffixes"),
+        # What the longest stop suffix of a key matches; a key is never a suffix alone.
+        F.concat(F.lit("(?<=.)(?:"), F.array_join(F.transform(
+            "normalization.stop_suffixes", lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|"), F.lit(r")\z")).alias("suffix_pattern"),
     )
     terms = raw.select(F.explode("terms").alias("slug", "t")).select("slug", "t.term", "t.type", "t.subdomain")
     alias = raw.select(F.explode("alias_index").alias("key", "slug"))
