@@ -87,12 +87,10 @@ def strip_accents(text: Column) -> Column:
     """Compatibility decomposition of Latin text without its combining marks."""
     source, target, several = _latin_folding()
     folded = F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), source, target)
-    multi = "[" + "".join(c for c, _ in several) + "]"
-    expanded = folded
-    for char, plain in several:
-        if char <= "ɏ" or "ﬀ" <= char <= "ﬆ":
-            expanded = F.replace(expanded, F.lit(char), F.lit(plain))
-    return F.when(folded.rlike(multi), expanded).otherwise(folded)
+    # Characters that fold to several are rare: the fold over their pairs runs on hits only.
+    pairs = F.expr("array(" + ", ".join(f"named_struct('c', '{c}', 'p', '{p}')" for c, p in several) + ")")
+    expanded = F.reduce(pairs, folded, lambda text, pair: F.replace(text, pair["c"], pair["p"]))
+    return F.when(folded.rlike("[" + "".join(c for c, _ in several) + "]"), expanded).otherwise(folded)
 
 
 def fold(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from beleg.functions.iris import RDF_OBJECT, RDF_PREDICATE, RDF_SUBJECT, RDF_TYPE
 from beleg.operators.graph_build import TRIPLE_COLUMNS
 from beleg.operators.graph_overlay import canonical_predicates, relation_predicates, resolve_labels
+from beleg.session import cut_lineage
 from beleg.sources.vocabulary import Vocabulary
 
 
@@ -101,16 +102,19 @@ def _canonical_entities(triples: DataFrame, vocab: Vocabulary, base: str) -> Dat
     ).filter(F.col("size") > 1)
 
 
-def consolidate_entities(triples: DataFrame, vocab: Vocabulary, base: str) -> DataFrame:
+def consolidate_entities(triples: DataFrame, vocab: Vocabulary, base: str, cut=cut_lineage) -> DataFrame:
     """Merge every group into its smallest IRI: edges repointed, mentions summed.
 
     The other members' own descriptions (type, label, label form, count) go. Predicates are
     compared by full IRI, so a relation that happens to be named ``label`` survives.
+
+    Groups and renames are needed in several places and are far smaller than the graph, so
+    they are written once.
     """
-    groups = _canonical_entities(triples, vocab, base)
-    mapping = entity_groups(triples, vocab, base).join(groups, "group_key").filter(
+    groups = cut(_canonical_entities(triples, vocab, base))
+    mapping = cut(entity_groups(triples, vocab, base).join(groups, "group_key").filter(
         F.col("entity") != F.col("canonical")
-    ).select(F.col("entity").alias("old"), F.col("canonical").alias("new"))
+    ).select(F.col("entity").alias("old"), F.col("canonical").alias("new")))
 
     own = [RDF_TYPE, *(base + name for name in ("hasLabelForm", "mentionCount", "label"))]
     about_entity = F.col("s").startswith(base + "entity/")
@@ -176,10 +180,10 @@ class CleanStages:
     cleaned: DataFrame
 
 
-def clean_stages(triples: DataFrame, vocab: Vocabulary, base: str, cut=lambda df: df) -> CleanStages:
-    """``cut`` may write and re-read a stage (a table or a checkpoint) to end its lineage."""
+def clean_stages(triples: DataFrame, vocab: Vocabulary, base: str, cut=cut_lineage) -> CleanStages:
+    """Run the passes one after the other; ``cut`` ends the lineage of each stage."""
     folded = cut(canonicalize_predicates(triples, vocab, base))
-    merged = cut(consolidate_entities(folded, vocab, base))
+    merged = cut(consolidate_entities(folded, vocab, base, cut))
     return CleanStages(triples, folded, merged, cut(prune_orphans(merged, base)))
 
 

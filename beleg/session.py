@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Semantics, not tuning: side-car entries win over front matter in map_concat, and every
 # timestamp is UTC.
@@ -43,3 +43,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a stage to the shared folder and read it back.
+
+    A stage that several later steps refer to would otherwise be planned, and run, once per
+    reference; the written table also survives the loss of executors.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
