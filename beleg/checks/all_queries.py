@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("passage_queries", "document_queries", "graph_queries")
+MODULES = ("passage_queries", "document_queries", "graph_queries", "log_queries")
 
 
 def load() -> None:

@@ -64,7 +64,7 @@ def incremental_ingest(
         spark = batch.sparkSession
         log = records_or_empty(spark, docs_path, DOCUMENT_SCHEMA)
         known = latest_by_id(log.select("doc_id", "source_uri", "etag", "ingest_seq"))
-        newest = batch.groupBy("key").agg(F.max_by(F.struct("*"), "last_modified").alias("o")).select("o.*")
+        newest = batch.groupBy("key").agg(F.max_by(F.struct("*"), F.struct("last_modified", "etag")).alias("o")).select("o.*")
         listed = objects_from_listing(newest)
         pending = pending_objects(listed, known, root).join(newest.select("key", "content"), "key")
         seq = next_sequence(log)
