@@ -120,11 +120,11 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = RETRIEVAL_BREA
         n_buckets = -(-vectors.count() // block_rows)
         left = queries.select(
             "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).cast("bigint").alias("bucket"),
+            F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)).cast("array<bigint>")).alias("bucket"),
         )
         right = vectors.select(
             "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_buckets)).alias("bucket"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")).alias("block"),
         )
 
         def score_block(query_rows: pd.DataFrame, vector_rows: pd.DataFrame) -> pd.DataFrame:

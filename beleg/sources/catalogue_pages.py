@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from beleg.functions import markers as M
 from beleg.functions.pyregex import java_pattern
@@ -15,7 +16,7 @@ from beleg.functions.text import null_if_empty, strip
 _PAGE_ITEMS = 1 << 20  # position of an item = page number, then item number
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     """HTML entities to characters; Spark has no built-in for the full entity table."""
     return text.map(html.unescape, na_action="ignore")
