@@ -52,7 +52,7 @@ def _prefix(tokens: Column) -> Column:
 def _once(*columns: Column) -> Column:
     """Several columns behind a generator, so that later uses refer to them instead of
     repeating the folding they come from."""
-    return F.inline(F.array(F.struct(*columns)))
+    return F.inline_outer(F.array(F.struct(*columns)))
 
 
 def _wanted(doc_names: DataFrame, title: str) -> tuple[DataFrame, DataFrame]:

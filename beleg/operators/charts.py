@@ -32,7 +32,9 @@ def data_blocks(text: Column) -> Column:
 
 def extract_blocks(passages: DataFrame, text: str = "text") -> DataFrame:
     """One row per block with its position in the passage."""
-    return passages.select("*", F.posexplode(data_blocks(F.col(text))).alias("block_pos", "block")).select(
+    # Outer, then filtered: an inner explode infers a filter that parses the text once more.
+    found = passages.select("*", F.posexplode_outer(data_blocks(F.col(text))).alias("block_pos", "block"))
+    return found.filter(F.col("block_pos").isNotNull()).select(
         "*", F.col("block.content").alias("raw_block"), F.col("block.is_truncated").alias("is_truncated")
     ).drop("block")
 
@@ -174,8 +176,8 @@ def charts_from_passages(passages: DataFrame, text: str = "text") -> DataFrame:
 
 def chart_cells(charts: DataFrame, *keys: str) -> DataFrame:
     """Long form: one row per cell with row and column position."""
-    rows = charts.select(*keys, "columns", F.posexplode("rows").alias("row_idx", "cells"))
-    cells = rows.select(*keys, "columns", "row_idx", F.posexplode("cells").alias("col_idx", "cell"))
+    rows = charts.select(*keys, "columns", F.posexplode_outer("rows").alias("row_idx", "cells"))
+    cells = rows.select(*keys, "columns", "row_idx", F.posexplode_outer("cells").alias("col_idx", "cell"))
     return cells.select(
         *keys, "row_idx", "col_idx", F.element_at("columns", F.col("col_idx") + 1).alias("column"), "cell.*"
     )

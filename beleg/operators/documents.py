@@ -52,7 +52,8 @@ def chunk_documents(
     if size < 1 or max_chars < 0:
         raise ValueError("size must be positive and max_chars must not be negative")
     whole = F.col(text) if max_chars == 0 else F.substring(text, 1, max_chars)
-    return docs.select(doc_id, F.posexplode(chunks(whole, size)).alias("chunk_no", "text"))
+    pieces = docs.select(doc_id, F.posexplode_outer(chunks(whole, size)).alias("chunk_no", "text"))
+    return pieces.filter(F.col("chunk_no").isNotNull())
 
 
 def latest_by_id(records: DataFrame, key: str = "doc_id", seq: str = "ingest_seq") -> DataFrame:

@@ -61,7 +61,7 @@ def gazetteer_mentions(docs: DataFrame, labels: DataFrame, max_words: int | None
     longest = max_words or keyed.agg(F.max("n")).first()[0] or 1
     words = docs.select("doc_id", tokens(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
     grams = words.select("doc_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_t")))).alias("n"), "_t").select(
-        "doc_id", F.posexplode(F.transform(
+        "doc_id", F.posexplode_outer(F.transform(
             F.sequence(F.lit(1), F.size("_t") - F.col("n") + 1), lambda i: F.array_join(F.slice("_t", i, F.col("n")), " ")
         )).alias("position", "gram"),
     )

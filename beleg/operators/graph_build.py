@@ -46,7 +46,7 @@ def _named(extractions: DataFrame) -> DataFrame:
     """(doc_id, label, mentions) for entities and relation endpoints of each extraction."""
     ends = F.flatten(F.transform("relations", lambda r: F.array(r["s"], r["o"])))
     labels = F.array_distinct(F.concat("entities", ends))
-    return extractions.select("doc_id", "mention_counts", F.explode(labels).alias("label")).select(
+    return extractions.select("doc_id", "mention_counts", F.explode_outer(labels).alias("label")).filter(F.col("label").isNotNull()).select(
         "doc_id", "label", F.coalesce(F.element_at("mention_counts", F.col("label")), F.lit(0)).alias("mention_count")
     )
 
@@ -80,7 +80,7 @@ def graph_entities(extractions: DataFrame, base: str) -> DataFrame:
 def graph_relations(extractions: DataFrame, base: str) -> DataFrame:
     """One row per extracted (s, p, o) with the provenance of its assertion."""
     doc = F.col("doc_id")
-    rows = extractions.select("doc_id", "model", "extracted_at", F.explode(F.array_distinct("relations")).alias("r"))
+    rows = extractions.select("doc_id", "model", "extracted_at", F.explode_outer(F.array_distinct("relations")).alias("r")).filter(F.col("r").isNotNull())
     s, p, o = F.col("r.s"), F.col("r.p"), F.col("r.o")
     return rows.select(
         iri(base, "assertion/", assertion_id(doc, s, p, o)).alias("assertion_iri"),
@@ -105,7 +105,7 @@ def triple(s: Column, p: Column | str, o: Column | str, o_type: str | None = Non
 
 def triples_of(df: DataFrame, *triples: Column) -> DataFrame:
     """Several triples per row; rows with a null object give none for it."""
-    return df.select(F.inline(F.array(*triples))).filter(F.col("o").isNotNull())
+    return df.select(F.inline_outer(F.array(*triples))).filter(F.col("o").isNotNull())
 
 
 def timestamp_literal(ts: Column) -> Column:

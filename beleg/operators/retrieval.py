@@ -49,8 +49,9 @@ def retrieve(
     sort-merge join whose hot words adaptive execution splits).
     """
     terms = query_terms(queries)
+    # An inner explode would have its input tokenised again in an inferred "not empty" filter.
     words = passages.select("passage_id", tokens(F.col(text)).alias("_tokens")).select(
-        "passage_id", F.size("_tokens").alias("length"), F.explode("_tokens").alias("token")
+        "passage_id", F.size("_tokens").alias("length"), F.explode_outer("_tokens").alias("token")
     )
     corpus = corpus_statistics(passages, text) if corpus is None else corpus
     statistics = corpus.select(F.struct("n", "mean")).scalar()
@@ -59,7 +60,8 @@ def retrieve(
     counted = words.join(terms.select("token").distinct(), "token", "left_semi").groupBy(
         "token", "passage_id", "length"
     ).agg(F.count("*").alias("tf"))
-    frequency = counted.groupBy("token").agg(F.count("*").alias("df"))
+    # Reading ``tf`` keeps this branch equal to the other one, so their exchange is shared.
+    frequency = counted.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weighted = terms.join(frequency, "token").withColumn(
         "idf", F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     )

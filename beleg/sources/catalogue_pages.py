@@ -30,8 +30,8 @@ def listing_items(pages: DataFrame) -> DataFrame:
     """(page_id, item_pos, block) for every listing block; pages without any give nothing."""
     pattern = java_pattern(M.LISTING_ITEM, dotall=True)
     return pages.filter(F.col("html").contains('<div class="list-group-item">')).select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("item_pos", "block")
-    )
+        "page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("item_pos", "block")
+    ).filter(F.col("block").isNotNull())
 
 
 def read_catalogue_pages(pages: DataFrame) -> DataFrame:
