@@ -59,7 +59,8 @@ def neighbors(
 ) -> DataFrame:
     """One answer per seed: spelling, found, nodes, neighbor_count, neighbors[label, via[]].
 
-    A seed nobody carries is an answer too (found = false), not an error.
+    A seed nobody carries is an answer too (found = false), not an error. An answer nests all
+    neighbours of its seed; ``neighbor_edges`` gives them as rows.
     """
     edges = neighbor_edges(triples, seeds, base, direction, relation_prefixes)
     grouped = edges.groupBy("entity", "label").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ def objects_from_listing(listing: DataFrame) -> DataFrame:
     )
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
 
 
 def _key(path: Column, root: str) -> Column:
@@ -46,13 +48,17 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", etag_from_con
     return objects_from_listing(listing.filter(F.col("key").startswith(prefix)))
 
 
-def read_bodies(spark: SparkSession, root: str, etag_from_content: bool = True) -> DataFrame:
-    """Listing with ``content``, side-cars included."""
-    etag = F.sha2("content", 256) if etag_from_content else F.concat_ws("-", "length", F.unix_micros("modificationTime"))
-    return _files(spark, root).select(
-        _key(F.col("path"), root).alias("key"), F.col("length").alias("size"), etag.alias("etag"),
-        F.col("modificationTime").alias("last_modified"), "content",
-    )
+def read_bodies(spark: SparkSession, root: str, modified_since: datetime | None = None) -> DataFrame:
+    """(key, content). The time filter is pushed to the source: older files are never opened."""
+    files = _files(spark, root)
+    if modified_since is not None:
+        files = files.filter(F.col("modificationTime") >= F.lit(modified_since))
+    return files.select(_key(F.col("path"), root).alias("key"), "content")
+
+
+def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(key, content) of the side-car files only."""
+    return _files(spark, root, f"*{SIDECAR_SUFFIX}").select(_key(F.col("path"), root).alias("key"), "content")
 
 
 def decode(content: Column) -> Column:

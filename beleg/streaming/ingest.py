@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beleg.operators.documents import latest_by_id, pending_extractions, pending_objects
-from beleg.sources.objects import SIDECAR_SUFFIX, attach_sidecar, ingest_text, list_objects, objects_from_listing, read_bodies
+from beleg.sources.objects import attach_sidecar, ingest_text, list_objects, objects_from_listing, read_bodies, read_sidecars
 from beleg.sources.records import DOCUMENT_SCHEMA, EXTRACTION_SCHEMA, append_log, read_log
 from beleg.streaming.jobs import run_available
 
@@ -40,15 +40,19 @@ def _saved(spark: SparkSession, path: str, schema: str, seq: Column) -> DataFram
 
 
 def ingest_pending(spark: SparkSession, source_root: str, docs_path: str, prefix: str = "") -> None:
-    """One batch: list without bodies, read only pending objects, append their records."""
+    """One batch: list without bodies, read pending objects, append their records.
+
+    Files older than the oldest pending one are not opened; when nothing is pending, none is.
+    """
     log = records_or_empty(spark, docs_path, DOCUMENT_SCHEMA)
     known = latest_by_id(log.select("doc_id", "source_uri", "etag", "ingest_seq"))
     root = source_root.rstrip("/") + "/"
     pending = pending_objects(list_objects(spark, source_root, prefix), known, root)
-    bodies = read_bodies(spark, source_root, etag_from_content=False)
-    content = bodies.select("key", "content").join(pending.select("key"), "key", "left_semi")
-    sidecars = bodies.filter(F.col("key").endswith(SIDECAR_SUFFIX))
-    docs = attach_sidecar(ingest_text(pending.join(content, "key"), root), sidecars)
+    oldest = pending.agg(F.min("last_modified")).first()[0]
+    if oldest is None:
+        return
+    bodies = read_bodies(spark, source_root, oldest)
+    docs = attach_sidecar(ingest_text(pending.join(bodies, "key"), root), read_sidecars(spark, source_root))
     append_log(docs.select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", next_sequence(log)), docs_path)
 
 
