@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from beleg.llm import decontaminate, language
+from beleg.llm import decontaminate, language, lines, mix, simhash
 from beleg.llm.tables import read_table
 from beleg.session import configure
 
@@ -22,6 +23,21 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.judge(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -56,3 +72,12 @@ SELECT d.doc_id, CAST(len(d.w) AS bigint) AS n_words, CAST(coalesce(p.n_hit, 0)
   sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN positions AS p ON p.doc_id = d.doc_id LEFT JOIN found AS f ON f.doc_id = d.doc_id
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
