@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from beleg.llm import decontaminate, language, lines, mix, simhash
+from beleg.llm import decontaminate, language, lines, mix, personal, simhash, sitestyle, urls
 from beleg.llm.tables import read_table
 from beleg.session import configure
 
@@ -28,6 +28,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.judge(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(read_table(spark, sf_dir, "documents"))
@@ -43,6 +53,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitestyle.judge(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
