@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from beleg.llm import decontaminate, language, lines, mix, personal, simhash, sitestyle, urls
+from beleg.llm import decontaminate, language, licenses, lines, mix, ordermin, personal, simhash, sitestyle, urls
 from beleg.llm.tables import read_table
 from beleg.session import configure
 
@@ -28,6 +28,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.judge(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.judge(read_table(spark, sf_dir, "documents"))
@@ -58,6 +63,11 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitestyle.judge(read_table(spark, sf_dir, "pages"))
 
 
+@query
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.judge(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
