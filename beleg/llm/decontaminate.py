@@ -156,8 +156,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_pairs
 _WORD = re.compile("[0-9A-Za-z\u0080-\U0010FFFF]+")
 
 
-def without_ranges(text: str, ranges) -> str:
+def without_ranges(text: str | None, ranges) -> str | None:
     """The text without the words of the ranges and what stands between them."""
+    if not text or not ranges:
+        return text
     at = [m.span() for m in _WORD.finditer(text)]
     out, end = [], 0
     for r in ranges:
