@@ -8,8 +8,8 @@ what makes it sensitive to edit distance and not to overlap alone. Likeness of t
 among those that either has.
 
 The order of documents (descending doc_id) is cut into buckets of neighbouring ids at approximate quantiles, so that the next
-document of each is found inside a bucket; the first document of each bucket is handed to the bucket before. All steps on
-words and features keep to the partitioning by bucket: texts are shuffled once.
+document of each is found inside a bucket; the first document of each bucket is handed to the bucket before. Texts are
+shuffled once; all steps on words and features happen inside the row, without a shuffle or a sort that could spill.
 
 Defined results: null and empty texts, and texts of white space, have an empty fingerprint (all sketches ``-``); two empty ones are alike
 1.0. Null doc_ids come last; equal ids are ordered by a hash of the text, then the text. Of one document the next is itself.
@@ -19,6 +19,7 @@ equal for equal texts, but positions are taken modulo 2^27.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,7 @@ SKETCHES = 16
 TUPLE = 2
 BUCKET_ROWS = 2_000
 _POSITION_BITS = 27
+_HASH_BITS = 36
 
 
 def _bounds(docs: DataFrame, bucket_rows: int) -> list[int]:
@@ -79,30 +81,58 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
-    """keys and fingerprint of every text that has a word; texts: keys, which tell the rows apart, and text."""
-    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    kmers = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - K, F.lit(0))), lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(K))))
-    listed = texts.select(*keys, words.alias("words")).filter(F.size("words") > 0).select(*keys, F.posexplode(kmers).alias("pos", "kmer"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "kmer").orderBy("pos"))
-    feature = F.xxhash64(F.col("kmer"), nth)
-    # One long: stratum by the low bits, then the hash's other bits over the position, so that the least long is the least feature.
-    strata = SKETCHES * TUPLE
-    least_hash = F.shiftrightunsigned(feature, _POSITION_BITS + 1)
-    packed = F.shiftleft(least_hash, _POSITION_BITS) + F.col("pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    selected = (
-        listed.select(*keys, F.pmod(feature, F.lit(strata)).cast("int").alias("stratum"), packed.alias("packed"))
-        .groupBy(*keys, "stratum").agg(F.min("packed").alias("packed"))
-    )
-    position = F.col("packed").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    entry = F.struct((F.col("stratum") % SKETCHES).alias("sketch"), position.alias("pos"), F.shiftright("packed", _POSITION_BITS).alias("h"))
-    gathered = selected.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-
-    def sketch(i: int) -> Column:
-        own = F.transform(F.filter("entries", lambda e: e["sketch"] == i), lambda e: F.hex(e["h"]))
-        return F.when(F.size(own) > 0, F.lower(F.lpad(F.hex(F.xxhash64(F.array_join(own, ","))), 16, "0"))).otherwise("-")
-
-    return gathered.select(*keys, F.concat_ws(" ", *(sketch(i) for i in range(SKETCHES))).alias("fingerprint"))
+def with_fingerprints(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows with a fingerprint of each text column named in ``names`` (text -> fingerprint) in its place.
+
+    Everything happens inside the row, on arrays: the k-mers, sorted, lie in runs of equal ones with rising positions, which
+    numbers their occurrences; the features, sorted, lie in strata with the least one first.
+    """
+    kept = [c for c in rows.columns if c not in names]
+    mask, strata = (1 << _POSITION_BITS) - 1, SKETCHES * TUPLE
+
+    def step(rows: DataFrame, make: Callable[[str], Column]) -> DataFrame:
+        return rows.select(*kept, *(make(t).alias(t) for t in names))
+
+    def kmers(t: str) -> Column:
+        last = F.greatest(F.size(t) - K, F.lit(0))
+        hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*(F.get(t, i + j) for j in range(K))), 64 - _HASH_BITS), _POSITION_BITS) + i.bitwiseAND(F.lit(mask)))
+        return F.when(F.size(t) > 0, F.sort_array(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(t: str) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.shiftright(F.get(t, i), _POSITION_BITS) != F.shiftright(F.get(t, i - 1), _POSITION_BITS)))
+        return F.struct(F.col(t).alias("sorted"), F.when(F.size(t) > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"))
+
+    def features(t: str) -> Column:
+        in_order, starts = F.col(f"{t}.sorted"), F.col(f"{t}.starts")
+
+        def feature(start: Column, j: Column) -> Column:
+            h = F.xxhash64(F.shiftright(F.get(in_order, start), _POSITION_BITS), j)
+            packed = F.shiftleft(F.shiftrightunsigned(h, 64 - 31), _POSITION_BITS) + F.get(in_order, start + j).bitwiseAND(F.lit(mask))
+            return F.shiftleft(F.pmod(h, F.lit(strata)), 31 + _POSITION_BITS) + packed
+
+        def run(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(in_order))
+            return F.transform(F.sequence(F.lit(0), end - start - 1), lambda j: feature(start, j))
+
+        return F.sort_array(F.flatten(F.transform(starts, run)))
+
+    def selected(t: str) -> Column:
+        shift = 31 + _POSITION_BITS
+        least = F.filter(t, lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(t, i - 1), shift)))
+        return F.array_sort(F.transform(least, lambda x: F.struct(
+            (F.shiftright(x, shift) % SKETCHES).alias("sketch"), x.bitwiseAND(F.lit(mask)).alias("pos"),
+            F.shiftright(x, _POSITION_BITS).alias("feature"))))
+
+    def sketches(t: str) -> Column:
+        def sketch(i: Column) -> Column:
+            own = F.transform(F.filter(t, lambda e: e["sketch"] == i), lambda e: F.hex(e["feature"]))
+            return F.when(F.size(own) > 0, F.lower(F.lpad(F.hex(F.xxhash64(F.array_join(own, ","))), 16, "0"))).otherwise("-")
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), sketch), " ")
+
+    for make in (lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), kmers, runs, features, selected, sketches):
+        rows = step(rows, make)
+    return rows.select(*kept, *(F.col(t).alias(f) for t, f in names.items()))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,18 +146,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 def judge(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_next(docs, bucket_rows).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = with_next(docs, bucket_rows)
     # The next document's own fingerprint is the row's below, but for the last row of a bucket.
-    versions = F.array(
-        F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")),
-        F.struct(F.lit(2).alias("version"), F.when(F.col("last"), F.col("next_text")).alias("text")))
-    texts = rows.select("bucket", "at", F.explode(versions).alias("v")).select("bucket", "at", "v.version", "v.text").filter("text <> ''")
-    marks = fingerprints(texts, "bucket", "at", "version").groupBy("bucket", "at").agg(
-        *(F.max(F.when(F.col("version") == i, F.col("fingerprint"))).alias(f"f{i}") for i in range(3)))
-    empty = F.lit(" ".join(["-"] * SKETCHES))
-    about = rows.select("bucket", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "last")
-    joined = about.join(marks, ["bucket", "at"], "left").withColumns({f"f{i}": F.coalesce(f"f{i}", empty) for i in range(3)})
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
+        "bucket", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "last",
+        "text", "edited", F.when(F.col("last"), F.col("next_text")).alias("beyond"))
+    marked = with_fingerprints(rows, {"text": "f0", "edited": "f1", "beyond": "f2"})
     following = F.when(F.col("last"), F.col("f2")).otherwise(F.lead("f0").over(Window.partitionBy("bucket").orderBy("at")))
-    return joined.withColumn("following", following).select(
+    return marked.withColumn("following", following).select(
         "doc_id", "n_chars", "edited_sha256", F.col("f0").alias("fingerprint"), F.col("f1").alias("edited_fingerprint"),
         likeness(F.col("f0"), F.col("f1")).alias("near_edited"), likeness(F.col("f0"), F.col("following")).alias("near_next"))
