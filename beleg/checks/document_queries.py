@@ -9,7 +9,7 @@ from beleg.checks.fixtures import ROOT, Inputs
 from beleg.checks.graph_inputs import document_records, extraction_records
 from beleg.checks.oracle_parts import sql
 from beleg.checks.passage_queries import core_ctes
-from beleg.checks.registry import query, sorted_map, stored
+from beleg.checks.registry import listed, query, sorted_map, stored
 from beleg.functions import markers as M
 from beleg.operators import annotate, catalogue, documents
 from beleg.operators.extraction import extract_with, extract_with_gazetteer
@@ -380,13 +380,24 @@ def gazetteer(d: Inputs) -> DataFrame:
     return found.groupBy("doc_id", "label").agg(F.count("*").alias("mentions"))
 
 
-@query("u1b_extract_with_gazetteer")
+@query("u1b_extract_with_gazetteer", r"""
+    WITH vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS label FROM benchmark),
+    docs AS (SELECT cast(doc_id AS varchar) AS doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE trim(text) <> ''),
+    m AS (SELECT doc_id, label, pos FROM (SELECT doc_id, unnest(t) AS label, generate_subscripts(t, 1) AS pos FROM docs) w WHERE label IN (SELECT label FROM vocabulary)),
+    counted AS (SELECT doc_id, string_agg(label || '=' || n, ';' ORDER BY label) AS counts, string_agg(label, ';' ORDER BY label) AS entities
+                FROM (SELECT doc_id, label, count(*) AS n FROM m GROUP BY ALL) c GROUP BY doc_id),
+    steps AS (SELECT DISTINCT doc_id, label AS s, nx AS o FROM (SELECT *, lead(label) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM m) l WHERE nx <> label),
+    related AS (SELECT doc_id, string_agg(s || '>' || o, ';' ORDER BY s, o) AS relations FROM steps GROUP BY doc_id)
+    SELECT doc_id, md5(coalesce(entities, '')) AS entities, md5(coalesce(relations, '')) AS relations, md5(coalesce(counts, '')) AS counted
+    FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN related USING (doc_id)""")
 def extract_gazetteer(d: Inputs) -> DataFrame:
     from beleg.functions.text import tokens
 
     words = d.benchmark.select(F.explode(tokens(F.col("text"))).alias("label")).distinct()
     found = extract_with_gazetteer(_text_documents(d), words)
-    return found.select("doc_id", F.size("entities").alias("entities"), F.size("relations").alias("relations"), F.size("mention_counts").alias("counted"))
+    relations = F.transform("relations", lambda r: F.concat(r["s"], F.lit(">"), r["o"]))
+    return found.select("doc_id", F.md5(listed(F.array_sort("entities"))).alias("entities"), F.md5(F.array_join(relations, ";")).alias("relations"),
+                        F.md5(sorted_map(F.col("mention_counts"))).alias("counted"))
 
 
 @query("u1c_extract_with_function", sql(r"""

@@ -323,7 +323,7 @@ def neighbors(d: Inputs) -> DataFrame:
     return graph_query.neighbors(triples(d), _seeds(d), B).select("entity", "spelling", "found", "nodes", "neighbor_count")
 
 
-PATTERNS = [("?d", B + "mentions", "?e"), ("?e", B + "label", "?label"), ("?d", B + "contentType", "?type"), ("?e", "?p", "?x"), ("?x", B + "label", "AFRICA")]
+PATTERNS = [("?d", B + "mentions", "?e"), ("?e", B + "label", "?label"), ("?d", B + "contentType", "?type"), ("?e", "?p", "?x"), ("?x", B + "label", graph_query.Literal("AFRICA"))]
 
 
 @query("g19_match_patterns", sql(f"""
@@ -336,13 +336,42 @@ def match_patterns(d: Inputs) -> DataFrame:
     return graph_query.match_patterns(triples(d), PATTERNS, B, ["?label", "?type", "?p"], limit=500)
 
 
+@query("g19b_typed_patterns", f"""
+    SELECT '{B}c/' || c_custkey AS c, n_name AS label FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0""")
+def typed_patterns(d: Inputs) -> DataFrame:
+    """Half of the customers name their nation's IRI as a literal: those don't join."""
+    none = F.lit(None).cast("string")
+    of = d.customer.select(F.concat(F.lit(B + "c/"), "c_custkey").alias("s"), F.lit(B + "of").alias("p"), F.concat(F.lit(B + "n/"), "c_nationkey").alias("o"),
+                           F.when(F.col("c_custkey") % 2 == 0, "iri").otherwise("literal").alias("o_kind"), none.alias("o_type"))
+    names = d.nation.select(F.concat(F.lit(B + "n/"), "n_nationkey").alias("s"), F.lit(B + "label").alias("p"), F.col("n_name").alias("o"), F.lit("literal").alias("o_kind"), none.alias("o_type"))
+    found = graph_query.solve_patterns(of.unionByName(names), [("?c", B + "of", "?n"), ("?n", B + "label", "?label")])
+    return found.select("c", "label")
+
+
+@query("s9b_line_exchange", r"""
+    SELECT CASE WHEN c_custkey % 2 = 0 THEN '_:c' ELSE 'http://k/c' END || c_custkey AS s, 'http://k/p' AS p,
+           chr(1) || '\' || c_name || chr(10) || '"' || CASE WHEN c_custkey % 3 = 0 THEN 'é\u0041😀' ELSE '' END AS o, 'literal' AS o_kind,
+           CASE WHEN c_custkey % 5 = 0 THEN '@de-CH' ELSE 'http://www.w3.org/2001/XMLSchema#string' END AS o_type FROM customer""")
+def line_exchange(d: Inputs) -> DataFrame:
+    """Statements written and read: blank nodes, languages, and escapes of every kind."""
+    backslash = F.lit(chr(92))
+    text = F.concat(F.lit(chr(1)), backslash, "c_name", F.lit('\n"'), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("é"), backslash, F.lit("u0041😀"))).otherwise(""))
+    rows = d.customer.select(
+        F.concat(F.when(F.col("c_custkey") % 2 == 0, "_:c").otherwise("http://k/c"), "c_custkey").alias("s"), F.lit("http://k/p").alias("p"), text.alias("o"),
+        F.lit("literal").alias("o_kind"), F.when(F.col("c_custkey") % 5 == 0, "@de-CH").alias("o_type"))
+    lines = triple_files.to_ntriples(rows)
+    # Other writers spell such characters as code points.
+    spelled = F.replace(F.replace("value", F.lit("é"), F.concat(backslash, F.lit("u00e9"))), F.lit("😀"), F.concat(backslash, F.lit("uD83D"), backslash, F.lit("uDE00")))
+    return triple_files.from_ntriples(lines.select(spelled.alias("value")))
+
+
 @query("g20_pattern_exists", sql(f"SELECT count(*) > 0 AS exists FROM triples WHERE p = '{B}relprop/supplies'"))
 def pattern_exists(d: Inputs) -> DataFrame:
     return graph_query.pattern_exists(triples(d), [("?s", B + "relprop/supplies", "?o")])
 
 
 @query("g20b_construct_triples", sql(f"""
-    SELECT DISTINCT m.s AS s, '{B}names' AS p, e.o AS o, 'literal' AS o_kind FROM triples m JOIN triples e ON e.s = m.o AND e.p = '{B}label' WHERE m.p = '{B}mentions'"""))
+    SELECT DISTINCT m.s AS s, '{B}names' AS p, e.o AS o, 'literal' AS o_kind, e.o_type AS o_type FROM triples m JOIN triples e ON e.s = m.o AND e.p = '{B}label' WHERE m.p = '{B}mentions'"""))
 def construct_triples(d: Inputs) -> DataFrame:
     return graph_query.construct_triples(triples(d), PATTERNS[:2], [("?d", B + "names", "?label")])
 
@@ -366,8 +395,8 @@ def relation_predicates_by_use(d: Inputs) -> DataFrame:
 
 
 @query("g21c_pointing_at", sql(f"""
-    SELECT a.o AS source_label, t.p FROM triples t JOIN triples l ON l.s = t.o AND l.p = '{B}label' AND l.o = 'NATION_7'
-    JOIN triples a ON a.s = t.s AND a.p = '{B}label' WHERE starts_with(t.p, '{B}relprop/')"""))
+    SELECT a.label AS source_label, t.p
+    FROM (SELECT DISTINCT sid, oid, '{B}relprop/' || slug AS p FROM rel) t JOIN ent l ON l.eid = t.oid AND l.label = 'NATION_7' JOIN ent a ON a.eid = t.sid"""))
 def pointing_at(d: Inputs) -> DataFrame:
     return graph_query.pointing_at(triples(d), "NATION_7", B)
 

@@ -184,3 +184,31 @@ def upsert_latest(d: Inputs) -> DataFrame:
         part.write.mode("append").parquet(source)
         ingest.upsert_latest(d.spark.readStream.schema(schema).parquet(source), table, checkpoint, schema)
     return ingest.latest_version(d.spark, table, schema).select("doc_id", "text")
+
+
+@query("t3c_upsert_under_a_new_checkpoint", sql("""
+    SELECT doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS text FROM graph_docs"""))
+def upsert_new_checkpoint(d: Inputs) -> DataFrame:
+    schema = "doc_id string, text string, ingest_seq bigint"
+    table = shared_dir(d.spark, "upsert-table")
+    for n, (text, rows) in enumerate((("first", d.graph_docs), ("second", d.graph_docs.filter("o_orderkey % 3 = 0")))):
+        source = shared_dir(d.spark, "upsert-source")
+        rows.select("doc_id", F.lit(text).alias("text"), F.lit(n).cast("bigint").alias("ingest_seq")).write.parquet(source)
+        ingest.upsert_latest(d.spark.readStream.schema(schema).parquet(source), table, shared_dir(d.spark, "upsert-checkpoint"), schema)
+    return ingest.latest_version(d.spark, table, schema).select("doc_id", "text")
+
+
+@query("t2b_extract_two_versions_in_a_batch", r"""
+    WITH w AS (SELECT cast(doc_id AS varchar) AS doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS label FROM documents WHERE trim(text) <> '')
+    SELECT d.doc_id, cast(coalesce(n, 0) AS bigint) AS mentions FROM (SELECT DISTINCT cast(doc_id AS varchar) AS doc_id FROM documents WHERE trim(text) <> '') d
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM w WHERE label IN ('the', 'der', 'de') GROUP BY doc_id) c USING (doc_id)""")
+def extract_two_versions(d: Inputs) -> DataFrame:
+    log, source = shared_dir(d.spark, "extractions"), shared_dir(d.spark, "texts")
+    labels = d.spark.createDataFrame([("the",), ("der",), ("de",)], "label string")
+    docs = d.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(2).cast("bigint").alias("ingest_seq"))
+    older = docs.withColumn("text", F.concat(F.lit("the the "), "text")).withColumn("ingest_seq", F.lit(1).cast("bigint"))
+    docs.union(older).write.parquet(source)
+    stream = d.spark.readStream.schema(docs.schema).parquet(source)
+    ingest.incremental_extract(stream, log, shared_dir(d.spark, "extract-checkpoint"), lambda batch: extract_with_gazetteer(batch, labels))
+    counts = F.aggregate(F.map_values("mention_counts"), F.lit(0).cast("bigint"), lambda total, n: total + n)
+    return read_log(d.spark, log, EXTRACTION_SCHEMA).select("doc_id", counts.alias("mentions"))

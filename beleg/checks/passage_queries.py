@@ -336,6 +336,17 @@ def search(d: Inputs) -> DataFrame:
                         F.when(F.col("years_covered").isNull(), 0).otherwise(years).cast("bigint").alias("n_years"))
 
 
+@query("r4b_search_summary", sql("""
+    SELECT q.query_id, cast(coalesce(n, 0) AS bigint) AS result_count
+    FROM (SELECT query_id FROM questions UNION ALL SELECT 'none|' || query_id FROM questions) q
+    LEFT JOIN (SELECT cast(query_id AS varchar) AS query_id, count(*) AS n FROM best_hits GROUP BY 1) b ON cast(q.query_id AS varchar) = b.query_id""", **core_ctes("questions", "doc_passages", 10)))
+def search_summary(d: Inputs) -> DataFrame:
+    """Questions without a hit are answered with 0."""
+    nobody = d.questions.select(F.concat(F.lit("none|"), "query_id").alias("query_id"), F.lit("zzqqxx").alias("question"))
+    asked = d.questions.select(F.col("query_id").cast("string").alias("query_id"), "question").unionByName(nobody)
+    return plans.search(asked, d.doc_passages).summary
+
+
 REQUESTS = """SELECT r_regionkey AS request_id, CASE r_regionkey % 3 WHEN 0 THEN 'Zubau' WHEN 1 THEN 'Verkauf' ELSE 'Total Leistung' END AS metric,
     1994 + r_regionkey AS start_year, 1998 AS end_year FROM {region} """
 TIMELINE_QUERIES = """SELECT request_id || '|' || year AS query_id, request_id, year, start_year, metric || ' ' || year AS question

@@ -68,9 +68,7 @@ def _latin_folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     ASCII characters (ligatures, digraphs, vulgar fractions) become replacements.
     """
     single_from, single_to, several = [], [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0),
-                 *range(0x2100, 0x2190), *range(0x2460, 0x2500), *range(0x3380, 0x33E0),
-                 *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)]:
+    for code in range(0x80, 0x110000):
         char = chr(code)
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
         if plain == char or not any(c.isascii() and c.isalnum() for c in plain):

@@ -49,7 +49,7 @@ def _finish(found: DataFrame, docs: DataFrame, model: str) -> DataFrame:
     )
 
 
-def gazetteer_mentions(docs: DataFrame, labels: DataFrame, max_words: int | None = None) -> DataFrame:
+def gazetteer_mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, position, label): where known labels occur, by equi-join on word n-grams.
 
     The text is cut into the n-gram lengths the labels have, once, and joined on the n-gram:
@@ -58,7 +58,7 @@ def gazetteer_mentions(docs: DataFrame, labels: DataFrame, max_words: int | None
     keyed = labels.select("label", tokens(F.col("label")).alias("_t")).filter(F.size("_t") > 0).select(
         "label", F.array_join("_t", " ").alias("gram"), F.size("_t").alias("n")
     )
-    longest = max_words or keyed.agg(F.max("n")).first()[0] or 1
+    longest = keyed.agg(F.max("n")).first()[0] or 1
     words = docs.select("doc_id", tokens(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
     grams = words.select("doc_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_t")))).alias("n"), "_t").select(
         "doc_id", F.posexplode_outer(F.transform(

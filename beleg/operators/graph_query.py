@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,51 +81,91 @@ def neighbors(
     )
 
 
-Pattern = tuple[str, str, str]
+@dataclass(frozen=True)
+class Literal:
+    """A literal as constant of a pattern; a plain string is an IRI (or ``?name``, a variable)."""
 
+    value: str
+    datatype: str | None = None
 
-def _is_variable(term: str) -> bool:
-    return term.startswith("?")
+
+Term = str | Literal
+Pattern = tuple[Term, Term, Term]
+
+
+def _is_variable(term: Term) -> bool:
+    return isinstance(term, str) and term.startswith("?")
+
+
+def _constant(term: Term, column: str) -> Column:
+    """Whether a column holds a constant: value, and in object place kind (and datatype, where one is given)."""
+    if isinstance(term, Literal):
+        same = (F.col(column) == term.value) & (F.col("o_kind") == "literal")
+        return same if term.datatype is None else same & (F.col("o_type") == term.datatype)
+    return (F.col(column) == term) & (F.col("o_kind") == "iri") if column == "o" else F.col(column) == term
 
 
 def _matches(triples: DataFrame, pattern: Pattern) -> DataFrame:
-    """Rows of one pattern with its variables as columns (``?x`` and its kind)."""
+    """Rows of one pattern with its variables as columns (``?x``, its kind and its datatype)."""
     rows, columns, seen = triples, [], {}
     for term, column in zip(pattern, ("s", "p", "o")):
         if not _is_variable(term):
-            rows = rows.filter(F.col(column) == term)
+            rows = rows.filter(_constant(term, column))
         elif term in seen:
             rows = rows.filter(F.col(column) == F.col(seen[term]))
+            if column == "o":
+                rows = rows.filter(F.col("o_kind") == "iri")
         else:
             seen[term] = column
-            kind = F.col("o_kind") if column == "o" else F.lit("iri")
-            columns += [F.col(column).alias(term[1:]), kind.alias(f"_kind_{term[1:]}")]
-    return rows.select(*columns) if columns else rows.select(F.lit(1).alias("_any")).limit(1)
+            kind, datatype = (F.col("o_kind"), F.col("o_type")) if column == "o" else (F.lit("iri"), F.lit(None).cast("string"))
+            columns += [F.col(column).alias(term[1:]), kind.alias(f"_kind_{term[1:]}"), datatype.alias(f"_type_{term[1:]}")]
+    return rows.select(*columns)
+
+
+def _selectivity(pattern: Pattern) -> tuple[int, int]:
+    """Bound object or subject before bound predicate only, fewer variables first."""
+    s, p, o = (not _is_variable(t) for t in pattern)
+    return -(2 * o + 2 * s + p), sum(map(_is_variable, pattern))
 
 
 def solve_patterns(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """All bindings of conjunctive patterns: one filtered scan each, equi-joined on shared variables.
 
-    Catalyst orders the joins. Patterns that share no variable with the rest are refused
-    rather than multiplied out.
+    The join starts at the pattern with the most bound places and goes on with the most bound one that shares a
+    variable, whatever the order they are written in. Shared variables join on value, kind and datatype. A pattern
+    without variables is a condition on the whole. Patterns that share no variable with the rest are refused rather
+    than multiplied out.
     """
     if not patterns:
         raise ValueError("at least one pattern is needed")
-    waiting = [(p, {t[1:] for t in p if _is_variable(t)}) for p in patterns]
-    first, bound = waiting.pop(0)
-    solved = _matches(triples, first)
+    ground = [p for p in patterns if not any(map(_is_variable, p))]
+    waiting = [(p, {t[1:] for t in p if _is_variable(t)}) for p in sorted((p for p in patterns if p not in ground), key=_selectivity)]
+    if waiting:
+        first, bound = waiting.pop(0)
+        solved = _matches(triples, first)
+    else:
+        solved = triples.filter(_all_constants(ground[0])).select(F.lit(1).alias("_any")).limit(1)
     while waiting:
         position = next((i for i, (_, names) in enumerate(waiting) if names & bound), None)
         if position is None:
             raise ValueError("patterns must be connected by shared variables")
         pattern, names = waiting.pop(position)
         shared = sorted(names & bound)
-        rows = _matches(triples, pattern).drop(*(f"_kind_{n}" for n in shared))
-        solved = solved.join(rows, shared)
+        rows = _matches(triples, pattern)
+        kinds = [f"_{what}_{n}" for n in shared for what in ("kind", "type")]
+        other = rows.withColumnsRenamed({c: f"_other{c}" for c in [*shared, *kinds]})
+        same = [solved[c].eqNullSafe(other[f"_other{c}"]) if c.startswith("_type_") else solved[c] == other[f"_other{c}"] for c in [*shared, *kinds]]
+        solved = solved.join(other, reduce(Column.__and__, same)).drop(*(f"_other{c}" for c in [*shared, *kinds]))
         bound = bound | names
+    for pattern in ground:
+        solved = solved.filter(triples.filter(_all_constants(pattern)).limit(1).agg(F.count("*")).scalar() > 0)
     return solved
 
 
+def _all_constants(pattern: Pattern) -> Column:
+    return reduce(Column.__and__, (_constant(t, c) for t, c in zip(pattern, ("s", "p", "o"))))
+
+
 def clamp_limit(limit: int) -> int:
     return max(1, min(int(limit), MAX_LIMIT))
 
@@ -143,12 +185,7 @@ def match_patterns(
     shown = solved.select(*(abbreviate(F.col(n), F.col(f"_kind_{n}"), base).alias(n) for n in names))
     if distinct:
         shown = shown.distinct()
-    limit = clamp_limit(limit)
-    head = shown.orderBy(*names).limit(limit + 1)
-    everything = Window.partitionBy(F.lit(1))  # at most limit + 1 rows are left
-    return head.withColumn("_n", F.row_number().over(everything.orderBy(*names))).withColumn(
-        "truncated", F.count("*").over(everything) > limit
-    ).filter(F.col("_n") <= limit).drop("_n")
+    return _cut(shown, limit, *names)
 
 
 def pattern_exists(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
@@ -156,21 +193,41 @@ def pattern_exists(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame
     return solve_patterns(triples, patterns).limit(1).agg((F.count("*") > 0).alias("exists"))
 
 
-def construct_triples(triples: DataFrame, patterns: Sequence[Pattern], template: Sequence[Pattern]) -> DataFrame:
-    """New triples from the bindings of the patterns."""
+def _cut(df: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first ``limit`` rows, with a flag that tells whether more existed; a top-k over ``limit + 1`` rows."""
+    limit = clamp_limit(limit)
+    everything = Window.partitionBy(F.lit(1))  # at most limit + 1 rows are left
+    return df.orderBy(*order).limit(limit + 1).withColumn("_n", F.row_number().over(everything.orderBy(*order))).withColumn(
+        "truncated", F.count("*").over(everything) > limit
+    ).filter(F.col("_n") <= limit).drop("_n")
+
+
+def construct_triples(triples: DataFrame, patterns: Sequence[Pattern], template: Sequence[Pattern], limit: int | None = None) -> DataFrame:
+    """New triples, in the columns of a graph, from the bindings of the patterns; with a ``limit`` also ``truncated``.
+
+    Bindings that would put a literal in subject or predicate place make no triple.
+    """
     solved = solve_patterns(triples, patterns)
 
     def made(pattern: Pattern) -> Column:
-        terms = [F.col(t[1:]) if _is_variable(t) else F.lit(t) for t in pattern]
-        kind = F.col(f"_kind_{pattern[2][1:]}") if _is_variable(pattern[2]) else F.lit("iri")
-        return F.struct(*(t.alias(n) for t, n in zip(terms, "spo")), kind.alias("o_kind"))
+        terms = [F.col(t[1:]) if _is_variable(t) else F.lit(t.value if isinstance(t, Literal) else t) for t in pattern]
+        last = pattern[2]
+        if _is_variable(last):
+            kind, datatype = F.col(f"_kind_{last[1:]}"), F.col(f"_type_{last[1:]}")
+        else:
+            kind, datatype = F.lit("literal" if isinstance(last, Literal) else "iri"), F.lit(last.datatype if isinstance(last, Literal) else None).cast("string")
+        sound = [F.col(f"_kind_{t[1:]}") != "literal" for t in pattern[:2] if _is_variable(t)]
+        triple = F.struct(*(t.alias(n) for t, n in zip(terms, "spo")), kind.alias("o_kind"), datatype.alias("o_type"))
+        return F.when(reduce(Column.__and__, sound), triple) if sound else triple
 
-    return solved.select(F.inline(F.array(*(made(p) for p in template)))).distinct()
+    built = solved.select(F.explode(F.array(*(made(p) for p in template))).alias("_t")).filter("_t IS NOT NULL").select("_t.*").distinct()
+    return built if limit is None else _cut(built, limit, "s", "p", "o", "o_kind", "o_type")
 
 
-def describe_node(triples: DataFrame, node: str) -> DataFrame:
-    """Every triple a node is subject or object of."""
-    return triples.filter((F.col("s") == node) | ((F.col("o") == node) & (F.col("o_kind") == "iri")))
+def describe_node(triples: DataFrame, node: str, limit: int | None = None) -> DataFrame:
+    """Every triple a node is subject or object of; with a ``limit`` also ``truncated``."""
+    found = triples.filter((F.col("s") == node) | ((F.col("o") == node) & (F.col("o_kind") == "iri")))
+    return found if limit is None else _cut(found, limit, "s", "p", "o", "o_kind", "o_type")
 
 
 def predicate_counts(triples: DataFrame, base: str) -> DataFrame:

@@ -6,7 +6,7 @@ fixed breadth per query whatever the caller's limit, because copies are collapse
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,9 +19,6 @@ from beleg.functions.text import tokens
 _K1, _B = 1.2, 0.75
 _UNITS = 1_000_000  # scores are summed as whole millionths: exact, whatever the partitioning
 
-# Query matrices up to this size travel with the task; larger sets are scored block by block.
-_MATRIX_BYTES = 32 * 1024 * 1024
-
 
 def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
     """(query_id, token), one row per distinct word of a question."""
@@ -96,47 +93,30 @@ def _best(query_ids, matrix, ids, vectors, k: int) -> pd.DataFrame:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = RETRIEVAL_BREADTH, block_rows: int = 4096) -> DataFrame:
     """Exact cosine top-k: (query_id, vec_id, score, rank).
 
-    ``queries(query_id, embedding)``, ``vectors(vec_id, embedding)``. Each Arrow batch keeps
-    its own k best per query, so at most k rows per query and batch are shuffled. A query set
-    whose measured size passes the bound is cut into blocks, and each block meets each
-    bucket of vectors in its own task; the result is the same.
+    ``queries(query_id, embedding)``, ``vectors(vec_id, embedding)``. The queries are sent to the vectors in blocks of about
+    ``block_rows``, however many there are: the driver and a task hold one block at a time. Each Arrow batch keeps its
+    own k best per query, so at most k rows per query and batch are shuffled.
     """
     if k < 1:
         raise ValueError("k must be positive")
     id_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
-    size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    if size[0] * size[1] * 8 <= _MATRIX_BYTES:
-        rows = queries.select("query_id", "embedding").toPandas()
-        query_ids = rows["query_id"].tolist()
-        matrix = _unit_rows(rows["embedding"]) if query_ids else np.zeros((0, 1))
 
+    def scorer(query_ids: list, matrix: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch) and query_ids:
                     yield _best(query_ids, matrix, batch["vec_id"], batch["embedding"], k)
 
-        partial = vectors.select("vec_id", "embedding").mapInPandas(score, schema)
-    else:
-        n_blocks = -(-size[0] // block_rows)
-        n_buckets = -(-vectors.count() // block_rows)
-        left = queries.select(
-            "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)).cast("array<bigint>")).alias("bucket"),
-        )
-        right = vectors.select(
-            "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_buckets)).alias("bucket"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")).alias("block"),
-        )
-
-        def score_block(query_rows: pd.DataFrame, vector_rows: pd.DataFrame) -> pd.DataFrame:
-            if not len(query_rows) or not len(vector_rows):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            return _best(query_rows["query_id"].tolist(), _unit_rows(query_rows["embedding"]),
-                         vector_rows["vec_id"], vector_rows["embedding"], k)
-
-        partial = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInPandas(
-            score_block, schema
-        )
+        return score
+
+    n_blocks = max(1, -(-queries.count() // block_rows))
+    partial = None
+    for block in range(n_blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).select("query_id", "embedding").toPandas()
+        query_ids = rows["query_id"].tolist()
+        matrix = _unit_rows(rows["embedding"]) if query_ids else np.zeros((0, 1))
+        found = vectors.select("vec_id", "embedding").mapInPandas(scorer(query_ids, matrix), schema)
+        partial = found if partial is None else partial.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from beleg.session import cut_lineage
 from beleg.operators.documents import latest_by_id, pending_extractions
 from beleg.operators.graph_build import (
     expand_triples, graph_documents, graph_entities, graph_labels, graph_properties, graph_relations,
@@ -38,7 +39,9 @@ def run_build(
     from beleg.streaming.ingest import ingest_pending
 
     docs_path, extractions_path = f"{work_root}/documents", f"{work_root}/extractions"
-    ingest_pending(spark, source_root, docs_path)
+    # What arrives or changes during the build is left to the next one: one listing serves ingest and manifest.
+    listing = cut_lineage(list_objects(spark, source_root), "listing")
+    ingest_pending(spark, source_root, docs_path, listing=listing)
     docs = read_log(spark, docs_path, DOCUMENT_SCHEMA)
     extractions = None
     if extract is not None:
@@ -49,4 +52,4 @@ def run_build(
         append_log(extract(waiting).withColumn("ingest_seq", next_sequence(done)), extractions_path)
         extractions = records_or_empty(spark, extractions_path, EXTRACTION_SCHEMA)
     write_graph(build_graph(docs, extractions, base), f"{work_root}/graph")
-    write_manifest(list_objects(spark, source_root), f"{work_root}/manifest")
+    write_manifest(listing, f"{work_root}/manifest")

@@ -60,6 +60,12 @@ def _with_source(rows: DataFrame, publications: DataFrame | None, source_fields:
     return with_source_json(linked.withColumn("source", record), source_fields=source_fields).drop(*flat, "source")
 
 
+def counted_for(asked: DataFrame, items: DataFrame, key: str, name: str) -> DataFrame:
+    """Number of items of everything asked: 0 where there is none."""
+    counts = items.groupBy(key).agg(F.count("*").alias(name))
+    return asked.select(key).distinct().join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def search(
     queries: DataFrame, passages: DataFrame, publications: DataFrame | None = None, max_results: int = 10,
     source_fields: str = "core", hits: DataFrame | None = None, corpus: DataFrame | None = None,
@@ -68,7 +74,7 @@ def search(
     _check_range("max_results", max_results, 1, 25)
     best = ranked_passages(queries, passages, max_results, hits, corpus)
     items = intern_sources(_with_source(annotate_passages(best), publications, source_fields))
-    return Answer(items, sources_of(items), items.groupBy("query_id").agg(F.count("*").alias("result_count")))
+    return Answer(items, sources_of(items), counted_for(queries, items, "query_id", "result_count"))
 
 
 def timeline_queries(requests: DataFrame) -> DataFrame:
@@ -99,11 +105,9 @@ def timeline(
     items = intern_sources(
         _with_source(project_passages(annotate_passages(merged), detail), publications, source_fields), "request_id"
     )
-    kept = items.groupBy("request_id").agg(F.count("*").alias("result_count"))
-    retrieved = placed.groupBy("request_id").agg(F.count("*").alias("retrieved"))
-    summary = retrieved.join(kept, "request_id").select(
-        "request_id", "result_count", (F.col("retrieved") - F.col("result_count")).alias("duplicates_collapsed")
-    )
+    summary = counted_for(requests, items, "request_id", "result_count").join(
+        counted_for(requests, placed, "request_id", "retrieved"), "request_id"
+    ).select("request_id", "result_count", (F.col("retrieved") - F.col("result_count")).alias("duplicates_collapsed"))
     return Answer(items, sources_of(items, "request_id"), summary)
 
 
@@ -150,4 +154,4 @@ def get_charts(
     _check_range("max_charts", max_charts, 1, 15)
     charts = best_charts(probe_pool(topics, passages, templates, corpus), max_charts).drop("text")
     items = intern_sources(_with_source(charts, publications, source_fields, "document"), "topic_id")
-    return Answer(items, sources_of(items, "topic_id"), items.groupBy("topic_id").agg(F.count("*").alias("chart_count")))
+    return Answer(items, sources_of(items, "topic_id"), counted_for(topics, items, "topic_id", "chart_count"))

@@ -132,6 +132,11 @@ def sidecar_properties(text: Column) -> Column:
 CONTENT_TYPES = {"md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "json": "application/json"}
 
 
+def text_objects(objects: DataFrame) -> DataFrame:
+    """Objects whose bytes are their text; the text of others (PDF) comes from an extractor through ``choose_extraction``."""
+    return objects.filter(F.col("extension").isin(*CONTENT_TYPES))
+
+
 def ingest_text(objects: DataFrame, root: str = "") -> DataFrame:
     """Document records of text objects (D1 plus ``content``).
 

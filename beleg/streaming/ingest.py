@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beleg.operators.documents import latest_by_id, pending_extractions, pending_objects
-from beleg.sources.objects import attach_sidecar, ingest_text, list_objects, objects_from_listing, read_bodies, read_sidecars
+from beleg.sources.objects import attach_sidecar, ingest_text, list_objects, objects_from_listing, read_bodies, read_sidecars, text_objects
 from beleg.sources.records import DOCUMENT_SCHEMA, EXTRACTION_SCHEMA, append_log, read_log
-from beleg.streaming.jobs import run_available
+from beleg.streaming.jobs import committed, run_available, write_version
 
 _DOCUMENT_COLUMNS = ("doc_id", "source_uri", "content_type", "size_bytes", "text", "text_truncated", "properties", "etag")
 
@@ -39,15 +39,17 @@ def _saved(spark: SparkSession, path: str, schema: str, seq: Column) -> DataFram
     return read_log(spark, path, schema).filter(F.col("ingest_seq") == seq)
 
 
-def ingest_pending(spark: SparkSession, source_root: str, docs_path: str, prefix: str = "") -> None:
-    """One batch: list without bodies, read pending objects, append their records.
+def ingest_pending(spark: SparkSession, source_root: str, docs_path: str, prefix: str = "", listing: DataFrame | None = None) -> None:
+    """One batch: list without bodies, read pending text objects, append their records.
 
-    Files older than the oldest pending one are not opened; when nothing is pending, none is.
+    ``listing`` (as of ``list_objects``) stands in for a listing of the root. Files older than the oldest pending one are
+    not opened; when nothing is pending, none is.
     """
     log = records_or_empty(spark, docs_path, DOCUMENT_SCHEMA)
     known = latest_by_id(log.select("doc_id", "source_uri", "etag", "ingest_seq"))
     root = source_root.rstrip("/") + "/"
-    pending = pending_objects(list_objects(spark, source_root, prefix), known, root)
+    listing = list_objects(spark, source_root, prefix) if listing is None else listing
+    pending = text_objects(pending_objects(listing, known, root))
     oldest = pending.agg(F.min("last_modified")).first()[0]
     if oldest is None:
         return
@@ -62,7 +64,8 @@ def incremental_ingest(
     """A stream of objects with content: each micro-batch appends its pending documents.
 
     A batch that is replayed after a failure finds its objects done, or appends equal records;
-    both replay to the same state. ``on_document`` sees every batch of saved records.
+    both replay to the same state. A side-car counts for the documents of its own batch. Objects that hold no text
+    (see ``text_objects``) are left to the caller's extractor. ``on_document`` sees every batch of saved records.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -70,9 +73,10 @@ def incremental_ingest(
         known = latest_by_id(log.select("doc_id", "source_uri", "etag", "ingest_seq"))
         newest = batch.groupBy("key").agg(F.max_by(F.struct("*"), F.struct("last_modified", "etag")).alias("o")).select("o.*")
         listed = objects_from_listing(newest)
-        pending = pending_objects(listed, known, root).join(newest.select("key", "content"), "key")
+        pending = text_objects(pending_objects(listed, known, root)).join(newest.select("key", "content"), "key")
         seq = next_sequence(log)
-        append_log(ingest_text(pending, root).select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", seq), docs_path)
+        docs = attach_sidecar(ingest_text(pending, root), newest.select("key", "content"))
+        append_log(docs.select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", seq), docs_path)
         if on_document is not None:
             on_document(_saved(spark, docs_path, DOCUMENT_SCHEMA, seq), batch_id)
 
@@ -87,7 +91,9 @@ def incremental_extract(
     def save(batch: DataFrame, batch_id: int) -> None:
         done = records_or_empty(batch.sparkSession, extractions_path, EXTRACTION_SCHEMA)
         seq = next_sequence(done)
-        append_log(extract(pending_extractions(batch, done)).withColumn("ingest_seq", seq), extractions_path)
+        # Of several versions in one batch only the last is extracted.
+        newest = latest_by_id(batch) if "ingest_seq" in batch.columns else batch.dropDuplicates(["doc_id"])
+        append_log(extract(pending_extractions(newest, done)).withColumn("ingest_seq", seq), extractions_path)
         if on_graph is not None:
             on_graph(_saved(batch.sparkSession, extractions_path, EXTRACTION_SCHEMA, seq), batch_id)
 
@@ -97,21 +103,21 @@ def incremental_extract(
 def upsert_latest(records: DataFrame, table_path: str, checkpoint: str, schema: str) -> None:
     """A stream of records to a table of the latest record per id, one version per batch.
 
-    Versions are written beside each other, so no reader ever sees a half-replaced table and
-    a replayed batch rewrites only its own version. ``latest_version`` reads the newest.
+    Versions are written beside each other, so no reader ever sees a half-replaced table. Each starts from the last
+    finished one, also under a new checkpoint. ``latest_version`` reads the newest.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.schema(schema).parquet(f"{table_path}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        merged = latest_by_id(current.unionByName(batch.select(*current.columns)))
-        merged.write.mode("overwrite").parquet(f"{table_path}/v{batch_id}")
+        def merged(last: int | None) -> DataFrame:
+            spark = batch.sparkSession
+            current = spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{table_path}/version={last}")
+            return latest_by_id(current.unionByName(batch.select(*current.columns)))
+
+        write_version(table_path, checkpoint, batch, batch_id, merged)
 
     run_available(records, merge, checkpoint)
 
 
 def latest_version(spark: SparkSession, table_path: str, schema: str) -> DataFrame:
-    """The newest table of ``upsert_latest``, chosen from the versions' names."""
-    versions = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(table_path).select(
-        F.regexp_extract("path", r"/v(\d+)/", 1).cast("int").alias("v")
-    )
-    return spark.read.schema(schema).parquet(f"{table_path}/v{versions.agg(F.max('v')).first()[0]}")
+    """The newest finished table of ``upsert_latest``."""
+    last = committed(spark, table_path).agg(F.max("version")).first()[0]
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{table_path}/version={last}")

@@ -31,12 +31,12 @@ def graph(spark, *rows):
 def vocabulary(spark, **overrides):
     data = {
         "schema_version": "1.0", "content_hash": "sha256:" + "ab" * 32, "term_iri_base": TERM, "vocab_iri_base": VOC,
-        "normalization": {"stop_suffixes": ["netz", "anlagennetz"]},
-        "terms": {"winter-reserve": {"term": "Winter reserve", "type": "regulation"}, "energy": {"term": "Energy", "type": "quantity"},
-                  "bfe": {"term": "BFE", "type": "organisation"}},
-        "alias_index": {"winterreserve": "winter-reserve", "energy": "energy", "warmepumpe": "energy", "bfe": "bfe", "bundesamt für energie": "bfe"},
-        "contested_aliases": {}, "generic_keys": ["energy"],
-        "predicates": {"part-of": {"inverse": "includes", "symmetric": False, "definition": "A constituent."}},
+        "normalization": {"stop_suffixes": ["becken", "hafenbecken"]},
+        "terms": {"storm-anchor": {"term": "Storm anchor", "type": "regulation"}, "tide": {"term": "Tide", "type": "quantity"},
+                  "hafenamt": {"term": "Hafenamt", "type": "organisation"}},
+        "alias_index": {"stormanchor": "storm-anchor", "tide": "tide", "fahre": "tide", "hafenamt": "hafenamt", "amt für häfen": "hafenamt"},
+        "contested_aliases": {}, "generic_keys": ["tide"],
+        "predicates": {"part-of": {"inverse": "includes", "symmetric": False, "definition": "One piece of another."}},
         "predicate_map": {"is_part_of": "part-of", "are_part_of": "part-of", "teil_von": "part-of"},
     }
     return vocabulary_from_json(spark, json.dumps({**data, **overrides}))
@@ -47,8 +47,8 @@ def rows(df):
 
 
 BASIC = (
-    ("doc/d1", RDF_TYPE, "Document"), ("doc/d1", "sourceUri", '"s3://b/2025-12-15_energie-bericht.pdf"'),
-    ("label/l1", "labelText", '"Winterreserve"'), ("label/l2", "labelText", '"Energy"'), ("label/l3", "labelText", '"Kleinwasserkraft"'),
+    ("doc/d1", RDF_TYPE, "Document"), ("doc/d1", "sourceUri", '"s3://b/2025-12-15_hafen-blatt.pdf"'),
+    ("label/l1", "labelText", '"Stormanchor"'), ("label/l2", "labelText", '"Tide"'), ("label/l3", "labelText", '"Leuchtfeuer"'),
     ("entity/e1", "hasLabelForm", "label/l1"), ("entity/e1", "mentionCount", 7),
     ("entity/e2", "hasLabelForm", "label/l3"), ("entity/e2", "mentionCount", 40),
     ("assertion/a1", RDF_PREDICATE, "relprop/is_part_of"), ("assertion/a2", RDF_PREDICATE, "relprop/Teil_von"), ("assertion/a3", RDF_PREDICATE, "relprop/x"),
@@ -62,15 +62,15 @@ def extraction(doc_id, entities, relations, counts=None):
 
 def test_tables_and_triples(spark):
     graphs = spark.createDataFrame([
-        extraction("d1", ["Axpo", "axpo ", "Gas"], [("Axpo", " is part of ", "Schweiz"), ("Axpo", "Is Part Of", "Schweiz")], {"Axpo": 3, "axpo ": 9}),
-        extraction("d2", ["AXPO"], [], {"AXPO": 1})], EXTRACTION_SCHEMA)
+        extraction("d1", ["Molka", "molka ", "Teer"], [("Molka", " is part of ", "Uferland"), ("Molka", "Is Part Of", "Uferland")], {"Molka": 3, "molka ": 9}),
+        extraction("d2", ["MOLKA"], [], {"MOLKA": 1})], EXTRACTION_SCHEMA)
     labels = {r.label_text for r in G.graph_labels(graphs, KG).collect()}
-    assert labels == {"AXPO", "Gas", "Schweiz"}
+    assert labels == {"MOLKA", "Teer", "Uferland"}
     entities = {(r.doc_iri[-2:], r.label): r for r in G.graph_entities(graphs, KG).collect()}
-    assert set(entities) == {("d1", "Axpo"), ("d1", "Gas"), ("d1", "Schweiz"), ("d2", "AXPO")}
-    assert entities["d1", "Axpo"].mention_count == 3 and entities["d1", "Schweiz"].mention_count == 0
-    assert entities["d1", "Axpo"].entity_iri != entities["d2", "AXPO"].entity_iri
-    assert entities["d1", "Axpo"].label_iri == entities["d2", "AXPO"].label_iri
+    assert set(entities) == {("d1", "Molka"), ("d1", "Teer"), ("d1", "Uferland"), ("d2", "MOLKA")}
+    assert entities["d1", "Molka"].mention_count == 3 and entities["d1", "Uferland"].mention_count == 0
+    assert entities["d1", "Molka"].entity_iri != entities["d2", "MOLKA"].entity_iri
+    assert entities["d1", "Molka"].label_iri == entities["d2", "MOLKA"].label_iri
     relations = G.graph_relations(graphs, KG).collect()
     # A case variant shares its assertion and keeps its own predicate.
     assert len({r.assertion_iri for r in relations}) == 1
@@ -86,13 +86,13 @@ def test_tables_and_triples(spark):
 
 
 def test_labels_resolve_by_rule(spark):
-    vocab = vocabulary(spark, contested_aliases={"ccs": {"senses": ["winter-reserve", "energy"]}, "bfe": {"senses": ["bfe"]}})
-    labels = spark.createDataFrame([(t,) for t in ("Winterreserve", " ENERGY", "CCS", "BFE", "Wärmepumpe", "Winterreserveanlagennetz", "netz", "Kleinwasserkraft")], "label_text string")
+    vocab = vocabulary(spark, contested_aliases={"ccs": {"senses": ["storm-anchor", "tide"]}, "hafenamt": {"senses": ["hafenamt"]}})
+    labels = spark.createDataFrame([(t,) for t in ("Stormanchor", " TIDE", "CCS", "Hafenamt", "Fähre", "Stormanchorhafenbecken", "becken", "Leuchtfeuer")], "label_text string")
     got = {r.label_text: (r.outcome, r.rule, r.slug) for r in graph_overlay.resolve_labels(labels, vocab).collect()}
     assert got == {
-        "Winterreserve": ("best", "exact", "winter-reserve"), " ENERGY": ("generic", None, None), "CCS": ("contested", None, None),
-        "BFE": ("contested", None, None), "Wärmepumpe": ("best", "ascii_fold", "energy"),
-        "Winterreserveanlagennetz": ("best", "desuffix", "winter-reserve"), "netz": ("unresolved", None, None), "Kleinwasserkraft": ("unresolved", None, None)}
+        "Stormanchor": ("best", "exact", "storm-anchor"), " TIDE": ("generic", None, None), "CCS": ("contested", None, None),
+        "Hafenamt": ("contested", None, None), "Fähre": ("best", "ascii_fold", "tide"),
+        "Stormanchorhafenbecken": ("best", "desuffix", "storm-anchor"), "becken": ("unresolved", None, None), "Leuchtfeuer": ("unresolved", None, None)}
 
 
 def test_overlay(spark):
@@ -101,15 +101,15 @@ def test_overlay(spark):
     found = rows(overlay)
     assert overlay.count() == len(found)
     for node in ("label/l1", "entity/e1"):
-        assert (node, "canonicalTerm", TERM + "winter-reserve") in found and (node, "termType", VOC + "regulation") in found
+        assert (node, "canonicalTerm", TERM + "storm-anchor") in found and (node, "termType", VOC + "regulation") in found
     assert not [t for t in found if t[0] == "label/l2"]
     assert {t[0] for t in found if t[1] == "canonicalPredicate"} == {"relprop/is_part_of", "relprop/Teil_von"}
     assert ("rel/part-of", "inversePredicate", "rel/includes") in found and ("rel/part-of", "symmetric", "false") in found
-    assert ("doc/d1", "publicationDate", "2025-12-15") in found and ("doc/d1", "title", "energie bericht") in found
+    assert ("doc/d1", "publicationDate", "2025-12-15") in found and ("doc/d1", "title", "hafen blatt") in found
     report = graph_overlay.annotation_report(triples, vocab, KG, overlay).first()
     assert (report.labels_linked, report.labels_generic, report.labels_unresolved, report.entities_annotated, report.documents_dated,
             report.predicates_annotated, report.predicates_total) == (1, 1, 1, 1, 1, 2, 3)
-    assert [tuple(r) for r in graph_overlay.unresolved_head(triples, vocab).collect()] == [("Kleinwasserkraft", 40)]
+    assert [tuple(r) for r in graph_overlay.unresolved_head(triples, vocab).collect()] == [("Leuchtfeuer", 40)]
 
 
 def test_base_uri(spark):
@@ -138,7 +138,7 @@ def entity(name, label, mentions):
 
 def test_entities_merge_by_label_and_by_term(spark):
     triples = graph(
-        spark, ("label/l1", "labelText", '"Schweiz"'), ("label/l2", "labelText", '"BFE"'), ("label/l3", "labelText", '"Bundesamt für Energie"'),
+        spark, ("label/l1", "labelText", '"Uferland"'), ("label/l2", "labelText", '"Hafenamt"'), ("label/l3", "labelText", '"Amt für Häfen"'),
         *entity("e1", "l1", 3), *entity("e2", "l1", 5), *entity("e3", "l2", 2), *entity("e4", "l3", 4),
         ("doc/d1", "mentions", "entity/e1"), ("doc/d2", "mentions", "entity/e2"), ("entity/e2", "relprop/x", "entity/e4"), ("entity/e1", "relprop/label", "entity/e2"))
     stages = graph_clean.clean_stages(triples, vocabulary(spark), KG)
@@ -148,7 +148,7 @@ def test_entities_merge_by_label_and_by_term(spark):
             ("entity/e1", "relprop/label", "entity/e1")} <= got
     report = graph_clean.clean_report(stages, vocabulary(spark), KG).first()
     assert (report.entities_before, report.entities_after, report.label_groups_merged, report.alias_groups_merged) == (4, 2, 1, 1)
-    contested = vocabulary(spark, contested_aliases={"bfe": {"senses": ["bfe"]}})
+    contested = vocabulary(spark, contested_aliases={"hafenamt": {"senses": ["hafenamt"]}})
     again = rows(graph_clean.clean_graph(triples, contested, KG))
     assert {s for s, p, o in again if p == RDF_TYPE} == {"entity/e1", "entity/e3", "entity/e4"}
 
@@ -162,17 +162,17 @@ def test_orphans_go_and_connected_ones_stay(spark):
 
 
 def test_neighbours(spark):
-    triples = graph(spark, ("entity/a", "label", '"Wasserkraft"'), ("entity/b", "label", '"WASSERKRAFT"'), ("entity/c", "label", '"Netz"'),
+    triples = graph(spark, ("entity/a", "label", '"Fischfang"'), ("entity/b", "label", '"FISCHFANG"'), ("entity/c", "label", '"Becken"'),
                     ("entity/a", "relprop/_is_part_of_", "entity/c"), ("entity/c", "relprop/feeds", "entity/b"), ("entity/a", "relprop/x", "entity/a"),
                     ("entity/a", "relprop/y", "entity/b"), ("entity/a", "relprop/z", "entity/unlabelled"), ("entity/a", "rel/part-of", "entity/c"))
-    seeds = spark.createDataFrame([(" wasserkraft",), ("nobody",)], "entity string")
+    seeds = spark.createDataFrame([(" fischfang",), ("nobody",)], "entity string")
     got = {r.entity: r for r in graph_query.neighbors(triples, seeds, KG).collect()}
-    found = got[" wasserkraft"]
-    assert (found.spelling, found.found, found.nodes, found.neighbor_count) == ("WASSERKRAFT", True, 2, 3)
+    found = got[" fischfang"]
+    assert (found.spelling, found.found, found.nodes, found.neighbor_count) == ("FISCHFANG", True, 2, 3)
     ways = {n.label: [(v.predicate, v.direction) for v in n.via] for n in found.neighbors}
-    assert ways == {"Netz": [("feeds", "in"), ("is part of", "out")], "WASSERKRAFT": [("y", "out")], "Wasserkraft": [("y", "in")]}
+    assert ways == {"Becken": [("feeds", "in"), ("is part of", "out")], "FISCHFANG": [("y", "out")], "Fischfang": [("y", "in")]}
     assert not got["nobody"].found and got["nobody"].neighbor_count == 0
-    assert graph_query.neighbor_edges(triples, seeds, KG, "out", ("relprop/", "rel/")).filter("label = 'Netz'").count() == 2
+    assert graph_query.neighbor_edges(triples, seeds, KG, "out", ("relprop/", "rel/")).filter("label = 'Becken'").count() == 2
     with pytest.raises(ValueError):
         graph_query.neighbors(triples, seeds, KG, "sideways")
 
@@ -206,3 +206,36 @@ def test_files(spark, tmp_path):
     file = tmp_path / "v.json"
     file.write_text(json.dumps({"schema_version": "1", "alias_index": {"a": "x"}, "generic_keys": ["a"], "contested_aliases": {"b": {"senses": ["y"]}}, "terms": {}}))
     assert {(r.key, r.slug, r.generic) for r in read_vocabulary(spark, str(file)).keys.collect()} == {("a", "x", True), ("b", None, False)}
+
+
+def test_typed_patterns(spark):
+    triples = spark.createDataFrame([
+        ("http://k/a", "http://k/p", "http://k/e2", "literal", None), ("http://k/b", "http://k/p", "http://k/e2", "iri", None),
+        ("http://k/e2", "http://k/label", "7", "literal", "http://t/int"), ("http://k/e2", "http://k/label", "7", "literal", None)], TRIPLE)
+    joined = graph_query.solve_patterns(triples, [("?s", "http://k/p", "?x"), ("?x", "http://k/label", "?l")])
+    assert {(r.s, r._type_l) for r in joined.collect()} == {("http://k/b", "http://t/int"), ("http://k/b", None)}
+    typed = [("?x", "http://k/label", graph_query.Literal("7", "http://t/int"))]
+    assert graph_query.solve_patterns(triples, typed).count() == 1
+    assert graph_query.solve_patterns(triples, [("?x", "http://k/label", "7")]).count() == 0
+    ground = ("http://k/b", "http://k/p", "http://k/e2")
+    assert graph_query.solve_patterns(triples, [*typed, ground]).count() == 1
+    assert graph_query.solve_patterns(triples, [*typed, ("http://k/b", "http://k/p", "http://k/e3")]).count() == 0
+    assert graph_query.pattern_exists(triples, [ground]).first()[0] and not graph_query.pattern_exists(triples, [("http://k/a", *ground[1:])]).first()[0]
+    made = graph_query.construct_triples(triples, [("?x", "http://k/label", "?l")], [("?x", "http://k/named", "?l"), ("?l", "http://k/of", "?x")])
+    assert made.columns == triples.columns and {tuple(r)[3:] for r in made.collect()} == {("literal", "http://t/int"), ("literal", None)}
+    cut = graph_query.describe_node(triples, "http://k/e2", limit=2).collect()
+    assert len(cut) == 2 and all(r.truncated for r in cut)
+
+
+def test_line_exchange(spark):
+    rows_in = [("_:b1", "http://k/p", "a \u0001 \\ \" \n\t é", "literal", "@de-CH"), ("http://k/s", "http://k/p", "_:b1", "blank", None),
+               ("http://k/s", "http://k/p", "x", "literal", "http://www.w3.org/2001/XMLSchema#string"), ("http://k/s", "http://k/p", "http://k/o", "iri", None)]
+    triples = spark.createDataFrame(rows_in, TRIPLE)
+    assert {tuple(r) for r in from_ntriples(to_ntriples(triples)).collect()} == set(rows_in)
+    lines = spark.createDataFrame([(v,) for v in (
+        r'<http://k/s> <http://k/p> "caf\u00e9 \\u0041 \U0001F600 \uD83D\uDE00 \b\'"@fr .', "# note", "", "junk .", r'_:x <http://k/p> "5"^^<http://t/int> . # note')], "value string")
+    got = [tuple(r) for r in from_ntriples(lines).collect()]
+    assert got == [("http://k/s", "http://k/p", "caf\u00e9 \\u0041 \U0001F600 \U0001F600 \b'", "literal", "@fr"), ("_:x", "http://k/p", "5", "literal", "http://t/int")]
+    from beleg.sources.triples import unread_lines
+
+    assert tuple(unread_lines(lines).first()) == (2, 1)

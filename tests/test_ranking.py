@@ -63,15 +63,14 @@ def brute_force_top(queries, vectors, k):
     return {(q, int(v)) for q in range(len(queries)) for v in sorted(range(len(vectors)), key=lambda v: (-scores[q, v], v))[:k]}
 
 
-def test_vector_top_k_both_ways(spark, monkeypatch):
+def test_vector_top_k_in_one_block_and_in_several(spark):
     rng = np.random.default_rng(3)
     queries, vectors = rng.normal(size=(7, 5)), rng.normal(size=(90, 5))
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
     want = brute_force_top(queries, vectors, 4)
     assert {(r.query_id, r.vec_id) for r in retrieval.vector_top_k(q, v, 4).collect()} == want
-    monkeypatch.setattr(retrieval, "_MATRIX_BYTES", 0)
-    assert {(r.query_id, r.vec_id) for r in retrieval.vector_top_k(q, v, 4, block_rows=16).collect()} == want
+    assert {(r.query_id, r.vec_id) for r in retrieval.vector_top_k(q, v, 4, block_rows=2).collect()} == want
 
 
 PASSAGES = "passage_id long, text string, title string, file_type string, language string, media_type string, created_at string, last_updated_at string"
