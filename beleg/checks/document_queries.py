@@ -145,10 +145,12 @@ def _listing_pages(d: Inputs) -> DataFrame:
     SELECT cast(p_partkey AS varchar) AS pub_id, p_name || ' & ' || p_type || ' Übersicht' AS title,
            cast(DATE '1995-01-01' + cast(p_partkey AS int) AS varchar) AS pub_date,
            CASE p_size % 3 WHEN 0 THEN 'XLSX' ELSE 'PDF' END AS file_type,
-           cast((p_partkey // 20 + 1000000) * 1048576 + p_partkey % 20 AS bigint) AS page_pos
+           cast(p_partkey // 20 + 1000000 AS bigint) AS page, cast(p_partkey % 20 AS bigint) AS item
     FROM part WHERE p_partkey % 17 <> 0""")
 def read_catalogue_pages(d: Inputs) -> DataFrame:
-    return catalogue_pages.read_catalogue_pages(_listing_pages(d))
+    pages = catalogue_pages.read_catalogue_pages(_listing_pages(d))
+    return pages.withColumn("page", F.floor(F.col("page_pos") / (1 << 31)).cast("bigint")).withColumn(
+        "item", (F.col("page_pos") % (1 << 31)).cast("bigint")).drop("page_pos")
 
 
 @query("s12b_page_text", r"""

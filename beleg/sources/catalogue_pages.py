@@ -13,7 +13,7 @@ from beleg.functions import markers as M
 from beleg.functions.pyregex import java_pattern
 from beleg.functions.text import null_if_empty, strip
 
-_PAGE_ITEMS = 1 << 20  # position of an item = page number, then item number
+_PAGE_ITEMS = 1 << 31  # position of an item = page number, then item number (an int), in one decimal
 
 
 @F.pandas_udf(StringType())
@@ -50,7 +50,7 @@ def read_catalogue_pages(pages: DataFrame) -> DataFrame:
         strip_tags(F.regexp_extract(block, title_pattern, 1)).alias("_title"),
         F.when(block.rlike(date_pattern), F.concat_ws("-", *parts)).alias("pub_date"),
         F.upper(null_if_empty(F.regexp_extract(block, java_pattern(M.LISTING_FILE_TYPE), 1))).alias("file_type"),
-        (F.col("page_id") * _PAGE_ITEMS + F.col("item_pos")).alias("page_pos"),
+        (F.col("page_id").cast("decimal(19,0)") * F.lit(_PAGE_ITEMS).cast("decimal(10,0)") + F.col("item_pos")).alias("page_pos"),
     )
     return found.select(
         "pub_id", strip(unescape_entities("_title")).alias("title"), "pub_date", "file_type", "page_pos"

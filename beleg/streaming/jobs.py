@@ -18,13 +18,17 @@ def with_lateness(stream: DataFrame, ts: str = "ts", lateness: str = LATENESS) -
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
 
 
-def run_available(stream: DataFrame, handler: BatchHandler, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there in micro-batches through ``handler`` and stop; progress is kept."""
+def run_available(stream: DataFrame, handler: BatchHandler, checkpoint: str, mode: str = "append") -> int:
+    """Process what is there in micro-batches through ``handler`` and stop; progress is kept.
+
+    Returns the number of rows that were dropped for coming after the watermark.
+    """
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(handler).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return sum(state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators)
 
 
 def append_available(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> None:
@@ -63,12 +67,12 @@ def write_version(path: str, checkpoint: str, batch: DataFrame, batch_id: int, m
     batch.sparkSession.createDataFrame([(version, checkpoint, batch_id)], _COMMITS).coalesce(1).write.mode("append").json(f"{path}/commits")
 
 
-def update_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write every update of an aggregating stream as a version; see ``current_rows``."""
+def update_table(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Write every update of an aggregating stream as a version (see ``current_rows``); returns the number of late rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
         write_version(path, checkpoint, batch, batch_id, lambda last: batch)
 
-    run_available(stream, write, checkpoint, "update")
+    return run_available(stream, write, checkpoint, "update")
 
 
 def current_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:

@@ -106,7 +106,8 @@ def test_late_rows_are_dropped_and_streams_match_batch(spark, tmp_path):
     stream = lambda: spark.readStream.schema(LOG).parquet(source)
     for minutes in ((1, 2, 61), (90,), (3, 88)):  # minute 3 comes when the watermark has passed it
         spark.createDataFrame(log_rows(*minutes), LOG).coalesce(1).write.mode("append").parquet(source)
-        jobs.update_table(gateway.request_metrics(stream()), table, checkpoint)
+        late = jobs.update_table(gateway.request_metrics(stream()), table, checkpoint)
+    assert late == 1
     got = {r.window_start.minute + 60 * r.window_start.hour - 720: r.calls for r in jobs.current_rows(spark, table, ["window_start", "method"]).collect()}
     assert got == {0: 2, 60: 1, 85: 1, 90: 1}
     on_time = spark.createDataFrame(log_rows(1, 2, 61, 90, 88), LOG)
