@@ -154,7 +154,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks_per_langu
             rows = [(lang, i, row.astype(np.uint16).tobytes()) for lang, i, text in zip(*(c.to_pylist() for c in batch.columns)) if (row := present(text, scratch)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(to_arrow_schema(schema))], schema=to_arrow_schema(schema))
 
-    sample = docs.join(ids, ["doc_id", "lang"], "left_semi").select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(grams, schema)
+    # At most per_language ids of each language.
+    sample = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(grams, schema)
     return fit([(r["lang"], r["doc_id"], np.frombuffer(r["places"], dtype=np.uint16).astype(np.int64)) for r in sample.collect()], landmarks_per_language, ridge)
 
 
