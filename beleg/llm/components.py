@@ -47,16 +47,34 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
+def crossing_pairs(rest: DataFrame, on: list[str]) -> DataFrame:
+    """(a, b): ids that share a key but no component."""
+    other = rest.select(*on, F.col("id").alias("id2"), F.col("component").alias("component2"))
+    return rest.join(other, on).filter("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def block_pairs(rest: DataFrame, block_size: int, weight: Column) -> DataFrame:
+    """rest (key, id, ...) dealt to pairs of blocks: in each (key, i, j) lie the rows of blocks i and j of that key.
+
+    A key's rows are cut into blocks of about block_size in weight by the hash of their id, so however large a key is, no
+    task gets more than two blocks, and a row is repeated once for each block of its key.
+    """
+    blocks = rest.groupBy("key").agg(F.ceil(F.sum(weight) / block_size).alias("blocks"))
+    dealt = rest.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
+
+
 def bucket_components(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[Column], Column] | None = None,
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], verify_rest: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """(id, component) under all links between two ids of one bucket that ``verify`` confirms.
+    """(id, component) under all links between two ids of one bucket that are confirmed.
 
     members: (key, id). Emitting all pairs of a bucket grows with its square, so each id first meets the bucket's least id
     only; buckets of two are done by that. Links only matter up to components: of the larger buckets, only those whose ids
-    are still in several components are looked at again, and there only pairs of different components are compared. With
-    ``refine`` these must also agree in one of the array of finer keys that it makes of an id (it must lose no link).
+    are still in several components are looked at again.
     verify: gets (a, b) without repeats and returns the links among them.
+    verify_rest: gets (key, id, component) of those buckets and returns links enough to join what is linked in a bucket.
     """
     buckets = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
     buckets = cut_lineage(buckets.filter("low < high"), "buckets")
@@ -69,19 +87,9 @@ def bucket_components(
 
     placed = wide.join(found, "id", "left").select("key", "id", "low", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("key")
-    rest = placed.join(mixed, "key", "left_semi").filter("id <> low")
-    if refine is not None:
-        rest = rest.select("*", F.explode(refine(F.col("id"))).alias("finer"))
-        on = ["key", "finer"]
-    else:
-        on = ["key"]
-    rest = cut_lineage(rest, "rest")
-    # A finer key whose ids are all in one component can add nothing either.
-    open_keys = rest.groupBy(*on).agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select(*on)
-    rest = rest.join(open_keys, on, "left_semi").select(*on, "id", "component")
-    other = rest.select(*on, F.col("id").alias("id2"), F.col("component").alias("component2"))
-    crossing = rest.join(other, on).filter("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    more = cut_lineage(verify(crossing), "verified")
+    # The least id has met all others of its bucket.
+    rest = cut_lineage(placed.join(mixed, "key", "left_semi").filter("id <> low").select("key", "id", "component"), "rest")
+    more = cut_lineage(verify_rest(rest), "verified")
     if more.isEmpty():
         return found
     # Components found so far stand for their links.

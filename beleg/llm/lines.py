@@ -5,7 +5,9 @@ Lines (cut at line feeds) are compared lower-cased with white space runs as one
 probability 0.985 at least; candidates are verified by exact Jaccard similarity; verified links are joined to components by
 distributed union-find, and of each component the line that comes first (least doc_id, then line number) stays.
 
-Only distinct lines take part in the comparison, so copies cost nothing. Lines that need verifying are fetched in one more
+Only distinct lines take part in the comparison, so copies cost nothing. No pairs of a large bucket are emitted: its lines meet
+their least one first; where that leaves several components, blocks of lines meet blocks of lines, each pair of blocks in one
+task that returns a spanning forest of its links (see ``components``). Lines that need verifying are fetched in one more
 scan, in which a bitmap of fixed size (``filter_bits``) tells which lines may be needed before anything is shuffled: a full
 bitmap costs time, never a line.
 
@@ -19,11 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beleg.llm.components import bucket_components
+from beleg.llm.components import block_pairs, bucket_components
 from beleg.llm.tables import cut_lineage, map_rows, row_key
 
 SHINGLE = 8
@@ -31,6 +34,8 @@ ROWS = 4
 BANDS = 8
 SIMILARITY = 0.8
 FILTER_BITS = 1 << 23
+BLOCK_CHARS = 100_000
+SMALL_GROUP = 64  # lines that are compared as sets; more as rows of a bit matrix
 _CHUNK = 1 << 16  # code points whose minima are taken at a time: they stay in a core's cache
 
 _rng = np.random.default_rng(8)
@@ -142,24 +147,19 @@ def _texts_of(docs: DataFrame, needed: DataFrame, filter_bits: int) -> DataFrame
     return map_rows(docs, "id long, line string", run, "text").join(needed, "id", "left_semi").distinct()
 
 
-def similarity(a: str, b: str) -> float:
-    """Exact Jaccard similarity of two normalised lines."""
-    x, y = ({s[i:i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
-    return len(x & y) / len(x | y)
+def _features(line: str) -> set[str]:
+    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def _similar(limit: float):
-    def run(a: list, b: list, left: list, right: list) -> Iterator[dict[str, list]]:
-        known: dict[str, set] = {}
-
-        def features(s: str) -> set:
-            if s not in known:
-                known[s] = {s[i:i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))}
-            return known[s]
+    """Keeps the pairs whose exact Jaccard similarity reaches the limit; one pair's features are held at a time."""
 
-        links = []
+    def run(a: list, b: list, left: list, right: list) -> Iterator[dict[str, list]]:
+        links, last, x = [], None, set()
         for i, j, s, t in zip(a, b, left, right):
-            x, y = features(s), features(t)
+            if i != last:
+                last, x = i, _features(s)
+            y = _features(t)
             common = len(x & y)
             if common >= limit * (len(x) + len(y) - common):
                 links.append((i, j))
@@ -168,18 +168,93 @@ def _similar(limit: float):
     return run
 
 
-def line_components(docs: DataFrame, table: DataFrame, limit: float = SIMILARITY, filter_bits: int = FILTER_BITS) -> DataFrame:
+def _forest(ids: list[int], components: list[int], lines: list[str], limit: float) -> list[tuple[int, int]]:
+    """Links that join what is similar among the lines, as a spanning forest over their components."""
+    root = {c: c for c in components}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [_features(line) for line in lines]
+    links = []
+
+    def join(k: int, other: int) -> None:
+        x, y = find(components[k]), find(components[other])
+        if x != y:
+            root[x] = y
+            links.append((ids[k], ids[other]))
+
+    if len(sets) <= SMALL_GROUP:
+        for k, x in enumerate(sets):
+            for other in range(k + 1, len(sets)):
+                if find(components[k]) != find(components[other]):
+                    y = sets[other]
+                    common = len(x & y)
+                    if common >= limit * (len(x) + len(y) - common):
+                        join(k, other)
+        return links
+    # Only shingles of several lines can be common; they are the columns of a bit matrix.
+    seen: dict[str, int] = {}
+    for features in sets:
+        for f in features:
+            seen[f] = seen.get(f, 0) + 1
+    columns = {f: k for k, f in enumerate(f for f, n in seen.items() if n > 1)}
+    bits = np.zeros((len(sets), -(-max(1, len(columns)) // 64)), dtype=np.uint64)
+    for row, features in zip(bits, sets):
+        at = np.array([columns[f] for f in features if f in columns], dtype=np.int64)
+        np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    sizes = np.array([len(x) for x in sets])
+    for k in range(len(sets)):
+        common = np.bitwise_count(bits[k + 1:] & bits[k]).sum(axis=1, dtype=np.int64)
+        for other in np.flatnonzero(common >= limit * (sizes[k + 1:] + sizes[k] - common)) + k + 1:
+            join(k, int(other))
+    return links
+
+
+def _links_in_blocks(limit: float):
+    """Rows sorted by (key, i, j): the lines of one pair of blocks at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, {}
+
+        def links() -> pa.RecordBatch:
+            found = _forest(list(rows), [r[0] for r in rows.values()], [r[1] for r in rows.values()], limit)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, i, j, number, component, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != group:
+                    if len(rows) > 1:
+                        yield links()
+                    group, rows = (key, i, j), {}
+                rows[number] = (component, line)
+        if len(rows) > 1:
+            yield links()
+
+    return run
+
+
+def line_components(docs: DataFrame, table: DataFrame, limit: float = SIMILARITY, filter_bits: int = FILTER_BITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, component) of distinct lines (lower half of their ids) that are similar to another one."""
+    fetched: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs, "candidates")
         needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = cut_lineage(_texts_of(docs, needed, filter_bits), "texts")
-        left, right = (texts.select(F.col("id").alias(n), F.col("line").alias(t)) for n, t in (("a", "left"), ("b", "right")))
+        fetched.append(cut_lineage(_texts_of(docs, needed, filter_bits), "texts"))
+        left, right = (fetched[0].select(F.col("id").alias(n), F.col("line").alias(t)) for n, t in (("a", "left"), ("b", "right")))
         return map_rows(pairs.join(left, "a").join(right, "b"), "a long, b long", _similar(limit), "a", "b", "left", "right")
 
+    def verify_rest(rest: DataFrame) -> DataFrame:
+        # All ids of a larger bucket were in a pair before, so their texts are at hand.
+        dealt = block_pairs(rest.join(fetched[0], "id"), block_chars, F.length("line"))
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.select("key", "i", "j", "id", "component", "line").mapInArrow(_links_in_blocks(limit), "a long, b long")
+
     members = table.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("low").alias("id"))
-    return bucket_components(members, verify)
+    return bucket_components(members, verify, verify_rest)
 
 
 def kept_lines(docs: DataFrame, limit: float = SIMILARITY, filter_bits: int = FILTER_BITS) -> DataFrame:

@@ -3,8 +3,8 @@
 Words are runs without ASCII white space, A-Z lower-cased; a text's features are its 3-word shingles, repeats included. Where
 two fingerprints differ in at most 2 bits, one of their two 32-bit segments differs in at most one. Each segment is indexed
 whole and under its 32 one-wildcard variants, so an equality join finds the pair; a bit count verifies it. Only distinct
-fingerprints take part, so copies cost nothing. Pairs of large buckets: see ``components.bucket_components``; its finer key
-is a third of the fingerprint, as two differing bits leave one of three thirds equal.
+fingerprints take part, so copies cost nothing. Large buckets: see ``components.bucket_components``; what is left of them is
+joined by a third of the fingerprint too, as two differing bits leave one of three thirds equal.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other. Fewer than 3 words are one
 shingle. Components of equal fingerprints have their least doc_id; null doc_ids are ignored in it unless a component has no
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beleg.llm.components import bucket_components
+from beleg.llm.components import bucket_components, crossing_pairs
 from beleg.llm.tables import cut_lineage, map_rows, row_key
 
 SHINGLE = 3
@@ -78,10 +78,19 @@ def _verify(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
 
 
+def _verify_rest(rest: DataFrame) -> DataFrame:
+    """Pairs of different components that also agree in a third of the fingerprint, and differ little enough."""
+    on = ["key", "third"]
+    rest = cut_lineage(rest.select("*", F.explode(_thirds(F.col("id"))).alias("third")), "thirds")
+    # A third whose fingerprints are all in one component can add nothing.
+    mixed = rest.groupBy(*on).agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select(*on)
+    return _verify(crossing_pairs(rest.join(mixed, on, "left_semi"), on))
+
+
 def link_fingerprints(marked: DataFrame) -> DataFrame:
     """(id, component) of distinct fingerprints fp that are linked to another one."""
     members = marked.select(F.col("fp").alias("id")).distinct().select(F.explode(segment_keys(F.col("id"))).alias("key"), "id")
-    return bucket_components(members, _verify, _thirds)
+    return bucket_components(members, _verify, _verify_rest)
 
 
 def _marked_components(marked: DataFrame) -> DataFrame:

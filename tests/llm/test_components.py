@@ -1,9 +1,10 @@
 import random
 
+import pandas as pd
 from helpers import union_find
 from pyspark.sql import functions as F
 
-from beleg.llm.components import bucket_components, components
+from beleg.llm.components import block_pairs, bucket_components, components, crossing_pairs
 
 
 def test_components_equal_union_find(spark):
@@ -20,16 +21,27 @@ def test_no_links(spark):
 
 def test_buckets_lose_no_component(spark):
     draw = random.Random(6)
-    ids = [draw.randrange(1000) for _ in range(150)]
-    members = [(k, i) for i in set(ids) for k in (i // 40, 1000 + i // 55)]
+    ids = {draw.randrange(1000) for _ in range(150)}
+    members = [(k, i) for i in ids for k in (i // 40, 1000 + i // 55)]
 
     def near(pairs):
         return pairs.filter(F.abs(F.col("a") - F.col("b")) <= 4)
 
-    found = {r["id"]: r["component"] for r in bucket_components(spark.createDataFrame(members, "key long, id long"), near).collect()}
+    def by_pairs(rest):
+        return near(crossing_pairs(rest, ["key"]))
+
+    def by_blocks(rest):
+        def links(block):
+            x = sorted(set(block["id"]))
+            return pd.DataFrame([(a, b) for a in x for b in x if a < b and b - a <= 4], columns=["a", "b"], dtype="int64")
+
+        return block_pairs(rest, 3, F.lit(1)).groupBy("key", "i", "j").applyInPandas(links, "a long, b long")
+
     buckets = {}
     for k, i in members:
         buckets.setdefault(k, set()).add(i)
     links = [(a, b) for g in buckets.values() for a in g for b in g if a < b and b - a <= 4]
     want = union_find({x for p in links for x in p}, links)
-    assert found == want
+    for rest in (by_pairs, by_blocks):
+        found = {r["id"]: r["component"] for r in bucket_components(spark.createDataFrame(members, "key long, id long"), near, rest).collect()}
+        assert found == want

@@ -83,3 +83,18 @@ def test_band_keys_meet_at_the_stated_similarity():
         x, y = lines.band_keys([a, b])
         met += bool((x == y).any())
     assert met >= 0.96 * n
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Hundreds of lines in one bucket, some near each other only: blocks of lines lose no link."""
+    draw = random.Random(7)
+    word = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    base, rows = [draw.choice(word) for _ in range(40)], []
+    for i in range(300):
+        own = list(base)
+        for _ in range(draw.randint(1, 4)):
+            own[draw.randrange(40)] = draw.choice(word)
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"] for r in lines.dedupe_lines(documents(spark, rows)).collect()}
+    want = {i for i, t in slow(rows).items() if t}
+    assert got == want
