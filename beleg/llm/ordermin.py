@@ -28,17 +28,19 @@ from pyspark.sql import functions as F
 from beleg.llm.tables import cut_lineage
 
 K = 3
-SKETCHES = 16
+SKETCHES = 32
 TUPLE = 2
 BUCKET_ROWS = 2_000
+MAX_BUCKETS = 20_000
 _POSITION_BITS = 27
 _HASH_BITS = 36
+_FEATURE_BITS = 30  # with the stratum and the position that is one positive long
 
 
 def _bounds(docs: DataFrame, bucket_rows: int) -> list[int]:
     """Least doc_ids of the buckets but the first, ascending: a bounded number of approximate quantiles."""
     n = docs.count()
-    buckets = min(20_000, max(1, -(-n // bucket_rows)))
+    buckets = min(MAX_BUCKETS, max(1, -(-n // bucket_rows)))
     if buckets == 1:
         return []
     quantiles = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("q")).first()["q"] or []
@@ -65,9 +67,9 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     ends = placed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     before = Window.orderBy(F.col("bucket").desc())
     everything = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row for each bucket: a bounded table.
     ends = ends.select("bucket", "top", F.coalesce(F.lag("bucket").over(before), F.last("bucket").over(everything)).alias("asks"))
-    starts = placed.select("bucket", "doc_id", "text").join(ends, (placed["bucket"] == ends["bucket"]) & placed["doc_id"].eqNullSafe(ends["top"]))
+    # One row of three numbers for each of at most MAX_BUCKETS buckets: small enough to be sent.
+    starts = placed.select("bucket", "doc_id", "text").join(F.broadcast(ends), (placed["bucket"] == ends["bucket"]) & placed["doc_id"].eqNullSafe(ends["top"]))
     starts = starts.groupBy("asks").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select(F.col("asks").alias("bucket"), F.col("first.text").alias("first_text"))
     starts = cut_lineage(starts, "starts")
     # The join keeps to the partitioning by bucket.
@@ -107,8 +109,8 @@ def with_fingerprints(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
         def feature(start: Column, j: Column) -> Column:
             h = F.xxhash64(F.shiftright(F.get(in_order, start), _POSITION_BITS), j)
-            packed = F.shiftleft(F.shiftrightunsigned(h, 64 - 31), _POSITION_BITS) + F.get(in_order, start + j).bitwiseAND(F.lit(mask))
-            return F.shiftleft(F.pmod(h, F.lit(strata)), 31 + _POSITION_BITS) + packed
+            packed = F.shiftleft(F.shiftrightunsigned(h, 64 - _FEATURE_BITS), _POSITION_BITS) + F.get(in_order, start + j).bitwiseAND(F.lit(mask))
+            return F.shiftleft(F.pmod(h, F.lit(strata)), _FEATURE_BITS + _POSITION_BITS) + packed
 
         def run(start: Column, k: Column) -> Column:
             end = F.coalesce(F.get(starts, k + 1), F.size(in_order))
@@ -117,20 +119,25 @@ def with_fingerprints(rows: DataFrame, names: dict[str, str]) -> DataFrame:
         return F.sort_array(F.flatten(F.transform(starts, run)))
 
     def selected(t: str) -> Column:
-        shift = 31 + _POSITION_BITS
+        shift = _FEATURE_BITS + _POSITION_BITS
         least = F.filter(t, lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(t, i - 1), shift)))
         return F.array_sort(F.transform(least, lambda x: F.struct(
             (F.shiftright(x, shift) % SKETCHES).alias("sketch"), x.bitwiseAND(F.lit(mask)).alias("pos"),
             F.shiftright(x, _POSITION_BITS).alias("feature"))))
 
-    def sketches(t: str) -> Column:
-        def sketch(i: Column) -> Column:
-            own = F.transform(F.filter(t, lambda e: e["sketch"] == i), lambda e: F.hex(e["feature"]))
-            return F.when(F.size(own) > 0, F.lower(F.lpad(F.hex(F.xxhash64(F.array_join(own, ","))), 16, "0"))).otherwise("-")
+    def hashed(t: str) -> Column:
+        """Sketch -> hash of its features in text order: they stand next to each other, the first makes the entry."""
+        def tuple_of(e: Column, i: Column) -> Column:
+            more = [F.when(F.get(t, i + j)["sketch"] == e["sketch"], F.hex(F.get(t, i + j)["feature"])) for j in range(1, TUPLE)]
+            value = F.lower(F.lpad(F.hex(F.xxhash64(F.array_join(F.array(F.hex(e["feature"]), *more), ","))), 16, "0"))
+            return F.when((i == 0) | (F.get(t, i - 1)["sketch"] != e["sketch"]), F.struct(e["sketch"].alias("k"), value.alias("v")))
+
+        return F.map_from_entries(F.filter(F.transform(t, tuple_of), lambda e: e.isNotNull()))
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), sketch), " ")
+    def sketches(t: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.coalesce(F.element_at(t, i.cast("bigint")), F.lit("-"))), " ")
 
-    for make in (lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), kmers, runs, features, selected, sketches):
+    for make in (lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), kmers, runs, features, selected, hashed, sketches):
         rows = step(rows, make)
     return rows.select(*kept, *(F.col(t).alias(f) for t, f in names.items()))
 

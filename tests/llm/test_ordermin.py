@@ -28,10 +28,10 @@ def slow_fingerprint(text):
         h = chain([struct.pack("<Q", kmer), struct.pack("<i", seen[kmer])])
         seen[kmer] += 1
         stratum = h % (ordermin.SKETCHES * ordermin.TUPLE)
-        best[stratum] = min(best.get(stratum, (1 << 70, 0)), (h >> 33, pos))
+        best[stratum] = min(best.get(stratum, (1 << 70, 0)), (h >> 34, pos))
     out = []
     for i in range(ordermin.SKETCHES):
-        own = sorted((pos, s << 31 | h) for s, (h, pos) in best.items() if s % ordermin.SKETCHES == i)
+        own = sorted((pos, s << 30 | h) for s, (h, pos) in best.items() if s % ordermin.SKETCHES == i)
         out.append(f"{chain([','.join(f'{h:X}' for _, h in own).encode()]):016x}" if own else "-")
     return " ".join(out)
 
