@@ -9,8 +9,8 @@ a node keeps, over the distinct pages that have it, how they present it (the seq
 * a node's importance is (1 - GAMMA) presentation + GAMMA content, and a branch's is the mean of its nodes' by occurrences.
 
 Branches below ``LEAST`` on hosts with ``MIN_PAGES`` distinct pages are removed from each page. What a page itself declares to be no
-article (elements and classes of menus, footers, forms and so on, fixed lists below) goes first, on any host. Where a page
-has a main or article element with text, only its text counts; plain paragraphs, headings and list items in it are never
+article (elements and classes of menus, footers, forms and so on, fixed lists below) goes first, on any host; a form
+only unless it holds an article or main element, or all text of the page. Where a page has a main or article element with text, only its text counts; plain paragraphs, headings and list items in it are never
 removed for their importance, so that sites that carry the same article often don't lose it.
 
 Equal pages of a host count once, so copies don't make an article look like a template. Counts are pre-aggregated; a hot
@@ -45,7 +45,7 @@ RAW = frozenset("script style title textarea noscript iframe xmp noembed noframe
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul".split())
-NOISE_TAGS = frozenset("nav footer aside form menu dialog button select option svg canvas object audio video map fieldset head".split())
+NOISE_TAGS = frozenset("nav footer aside form menu dialog button select optgroup option datalist svg foreignobject canvas object audio video map fieldset head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 NOISE_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer colophon sidebar aside ad ads adv advert adverts advertisement "
@@ -63,8 +63,11 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _CLOSED_BY: dict[str, frozenset[str]] = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
-    "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]), "option": frozenset(["option"]),
+    "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]),
 }
+# Elements on top of the stack that end before a start tag of the noise elements that are no blocks; before any block, option and svg end.
+_ENDS_BEFORE: dict[str, frozenset[str]] = {"option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"]), "button": frozenset(["button"])}
+_ENDS_BEFORE_BLOCK = frozenset(["option", "svg"])
 _BARRIER = frozenset("table ul ol dl div article section main body html td th blockquote aside nav".split())
 
 
@@ -85,6 +88,7 @@ class Element:
     noise: bool
     inside: bool
     named: bool
+    forms: tuple[int, ...] = ()  # the forms around, by number on the page
     children: list[str] = field(default_factory=list)
 
 
@@ -102,25 +106,26 @@ def _opened(tag: str, text: str, parent: Element) -> Element:
     attributes = _attributes(text)
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
     inside = parent.inside or tag in ("article", "main") or attributes.get("role") == "main"
-    noise = parent.noise or tag in NOISE_TAGS or (tag == "header" and not parent.inside) or attributes.get("role", "").lower() in NOISE_ROLES
+    noise = parent.noise or (tag in NOISE_TAGS and tag != "form") or (tag == "header" and not parent.inside) or attributes.get("role", "").lower() in NOISE_ROLES
     noise = noise or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-    if not noise and tag not in ("html", "body", "main"):
+    if not noise and tag not in ("html", "body", "main", "form"):
         noise = any(is_noise_name(n, parent.inside) for n in names)
     path = parent.path if tag in ("html", "body") else f"{parent.path}/{'.'.join([tag, *sorted(set(names))])}"
-    return Element(tag, path, noise, inside, bool(names) or (parent.named and parent.inside))
+    return Element(tag, path, noise, inside, bool(names) or (parent.named and parent.inside), parent.forms)
 
 
 def parse(source: str | None) -> Page:
     """Text blocks in page order, without those that the page declares to be no article."""
     page, stack, pieces = Page(), [Element("", "", False, False, False)], []
+    owner, forms, holding, n_forms = stack[0], [], set(), 0  # whose text the pieces are; forms around each block; forms with an article
 
     def flush() -> None:
         if pieces:
-            top = stack[-1]
             text = " ".join("".join(pieces).split())
             pieces.clear()
-            if text and not top.noise:
-                page.blocks.append((top.path, text, top.inside, top.inside and not top.named))
+            if text:
+                page.blocks.append((owner.path, text, owner.inside, owner.inside and not owner.named))
+                forms.append(owner.forms)
 
     def close(depth: int) -> None:
         flush()
@@ -130,7 +135,9 @@ def parse(source: str | None) -> Page:
                 page.styles.setdefault(done.path, " ".join(done.children))
 
     def text_of(start: int, end: int) -> None:
+        nonlocal owner
         if start < end and not stack[-1].noise:
+            owner = stack[-1]
             raw = source[start:end]
             pieces.append(html.unescape(raw) if "&" in raw else raw)
 
@@ -150,8 +157,12 @@ def parse(source: str | None) -> Page:
                 depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
                 if depth and tag not in ("html", "body"):
                     close(depth)
-            elif tag in NOISE_TAGS and stack[-1].tag == tag:
-                close(len(stack) - 1)
+            elif tag in NOISE_TAGS:
+                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
+                if depth and any(e.tag in BLOCK for e in stack[depth:]):
+                    close(depth)
+                elif depth:  # the text around goes on
+                    del stack[depth:]
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(source, at)
@@ -164,6 +175,8 @@ def parse(source: str | None) -> Page:
             continue
         if tag in BLOCK:
             flush()
+            while stack[-1].tag in _ENDS_BEFORE_BLOCK:
+                stack.pop()
             if stack[-1].tag == "p":
                 close(len(stack) - 1)
             for d in range(len(stack) - 1, 0, -1):
@@ -174,10 +187,22 @@ def parse(source: str | None) -> Page:
             if stack[-1].children[-1:] != [tag]:  # runs of one tag count once
                 stack[-1].children.append(tag)
             if tag != "hr":
-                stack.append(_opened(tag, m[3], stack[-1]))
+                parent = stack[-1]
+                stack.append(_opened(tag, m[3], parent))
+                if tag == "form":
+                    stack[-1].forms += (n_forms,)
+                    n_forms += 1
+                elif stack[-1].inside and not parent.inside:
+                    holding.update(parent.forms)
         elif tag in NOISE_TAGS:
-            stack.append(_opened(tag, m[3], stack[-1]))
+            while stack[-1].tag in _ENDS_BEFORE.get(tag, ()):
+                stack.pop()
+            if tag != "svg" or not m[3].endswith("/"):
+                stack.append(_opened(tag, m[3], stack[-1]))
     close(1)
+    # A form that holds the article, or all text of the page, is no noise.
+    outside = [b for b, around in zip(page.blocks, forms) if holding.issuperset(around)]
+    page.blocks = outside or page.blocks
     return page
 
 

@@ -26,6 +26,16 @@ def test_parse(source, want):
     assert text_of(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<svg class=icon/><article><p>x</p></article>", "x"), ("<svg><path d='m'/><p>x</p>", "x"), ("<svg><foreignObject><div>s</div></foreignObject><g></svg><p>x", "x"),
+    ("<select><option>A<option>B</select><article><p>x</p></article>", "x"), ("<datalist><option>A<optgroup><option>B</datalist><p>x</p>", "x"),
+    ("<video><button>b</video><article>x</article>", "x"), ("<p>Hello <button>b</button> world", "Hello world"), ("<p>Hello <button><div>b</div></button> world", "Hello\nworld"),
+    ("<form id=aspnetForm><main><p>x</p><form>f</form></main></form>", "x"), ("<form id=aspnetForm><div>x</div><p>y</form>", "x\ny"), ("<form>f</form><article>x</article>", "x"),
+])
+def test_noise_elements_end(source, want):
+    assert text_of(source) == want
+
+
 def pages():
     rows = []
     for i in range(12):
