@@ -9,9 +9,16 @@ a node keeps, over the distinct pages that have it, how they present it (the seq
 * a node's importance is (1 - GAMMA) presentation + GAMMA content, and a branch's is the mean of its nodes' by occurrences.
 
 Branches below ``LEAST`` on hosts with ``MIN_PAGES`` distinct pages are removed from each page. What a page itself declares to be no
-article (elements and classes of menus, footers, forms and so on, fixed lists below) goes first, on any host; a form
-only unless it holds an article or main element, or all text of the page. Where a page has a main or article element with text, only its text counts; plain paragraphs, headings and list items in it are never
-removed for their importance, so that sites that carry the same article often don't lose it.
+article (elements and classes of menus, footers, forms and so on, fixed lists below) goes first, on any host; a form only unless
+it holds an article or main element, or all text of the page.
+
+Elements without class or id in a main or article element (plain ones) are told apart by their text: each text under a path is a
+node, and its content importance is 1 - log_m(pages with the text) over the m pages with the path. So a line that is repeated
+on all pages goes and its siblings stay; the branches around count such nodes, but their removal leaves them alone. Only the first
+plain text of a page, its title or lead, always stays.
+
+Text outside main and article elements is judged by importance like text inside. On hosts without a tree (too few pages) it
+counts only where it is longer than the text inside.
 
 Equal pages of a host count once, so copies don't make an article look like a template. Counts are pre-aggregated; a hot
 host's pages are split by Spark in the join with its (single-row) list of removed branches.
@@ -206,11 +213,23 @@ def parse(source: str | None) -> Page:
     return page
 
 
-def main_text(page: Page, removed: frozenset[str]) -> str:
-    """The page's text without the removed branches."""
-    kept = [b for b in page.blocks if b[3] or not removed or not any(p in removed for p in _branches(b[0]))]
-    inside = [b for b in kept if b[2]]
-    return "\n".join(b[1] for b in inside or kept)
+def main_text(page: Page, removed: frozenset[str] | None) -> str:
+    """The page's text without the removed branches and plain texts (None: its host has no tree)."""
+    if not removed:
+        kept = page.blocks
+    else:
+        lead = next((b for b in page.blocks if b[3]), None)
+        kept = [b for b in page.blocks if b is lead or not (_node(b[0], b[1]) in removed if b[3] else any(p in removed for p in _branches(b[0])))]
+    if removed is None:
+        inside = [b for b in kept if b[2]]
+        if 2 * sum(len(b[1]) for b in inside) >= sum(len(b[1]) for b in kept):
+            kept = inside
+    return "\n".join(b[1] for b in kept)
+
+
+def _node(path: str, text: str) -> str:
+    """The node of a plain text."""
+    return f"{path}#{_hash(text)}"
 
 
 def _branches(path: str) -> list[str]:
@@ -225,37 +244,47 @@ def _hash(value: str) -> int:
 
 
 def tree_rows(pages: DataFrame) -> DataFrame:
-    """One row per page: host, a hash of its blocks, and its nodes with text: path, presentation and hashes of their text."""
+    """One row per page: host, a hash of its blocks, and its nodes with text: path, presentation and hashes of their text or plain text."""
 
     def run(hosts: list, sources: list) -> Iterator[dict[str, list]]:
         hashes, nodes = [], []
         for source in sources:
             page, own = parse(source), {}
             for path, text, _, plain in page.blocks:
-                if not plain:
-                    own.setdefault(path, []).append(_hash(text))
+                own.setdefault((path, plain), set()).add(_hash(text))
             hashes.append(_hash("\0".join(b[1] for b in page.blocks)))
-            nodes.append([{"path": p, "style": _hash(page.styles.get(p, "")), "texts": sorted(set(t))} for p, t in own.items()])
+            nodes.append([{"path": p, "plain": plain, "style": _hash(page.styles.get(p, "")), "texts": sorted(t)} for (p, plain), t in own.items()])
         yield {"host": hosts, "page": hashes, "nodes": nodes}
 
-    return map_rows(pages, "host string, page long, nodes array<struct<path:string,style:long,texts:array<long>>>", run, "host", "html")
+    return map_rows(pages, "host string, page long, nodes array<struct<path:string,plain:boolean,style:long,texts:array<long>>>", run, "host", "html")
 
 
 def removed_branches(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, removed): the branches below the least importance, of hosts that have any."""
+    """(host, removed): the branches and plain texts below the least importance, of hosts that have a tree."""
     distinct = tree_rows(pages).filter(F.size("nodes") > 0).dropDuplicates(["host", "page"])
     nodes = cut_lineage(distinct.select("host", F.explode("nodes").alias("n")).select("host", "n.*"), "nodes")
-    m = nodes.groupBy("host", "path").agg(F.count("*").alias("m")).filter(F.col("m") >= min_pages)
-    styles = nodes.groupBy("host", "path", "style").agg(F.count("*").alias("n")).groupBy("host", "path").agg(F.sum(F.col("n") * F.log("n")).alias("style_sum"))
-    texts = nodes.select("host", "path", F.explode("texts").alias("t")).groupBy("host", "path", "t").agg(F.count("*").alias("n"))
-    texts = texts.groupBy("host", "path").agg(F.sum(F.col("n") * F.log("n")).alias("text_sum"), F.sum("n").alias("n"))
+    key = ["host", "path", "plain"]
+    m = nodes.groupBy(*key).agg(F.count("*").alias("m")).filter(F.col("m") >= min_pages)
+    texts = nodes.select(*key, F.explode("texts").alias("t")).groupBy(*key, "t").agg(F.count("*").alias("n"))
+
+    styles = nodes.filter("NOT plain").groupBy(*key, "style").agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum(F.col("n") * F.log("n")).alias("style_sum"))
+    sums = texts.filter("NOT plain").groupBy(*key).agg(F.sum(F.col("n") * F.log("n")).alias("text_sum"), F.sum("n").alias("n"))
     presentation = 1 - F.col("style_sum") / F.col("m") / F.log("m")
     content = 1 - F.col("text_sum") / F.col("n") / F.log("m")
-    known = m.join(styles, ["host", "path"]).join(texts, ["host", "path"]).select("host", "path", "n", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
+    known = m.join(styles, key).join(sums, key).select("host", "path", "n", (F.col("n") * ((1 - GAMMA) * presentation + GAMMA * content)).alias("weight"))
+
+    alone = GAMMA * (1 - F.log("n") / F.log("m"))  # a plain text presents nothing
+    low = F.concat("path", F.lit("#"), F.col("t").cast("string"))
+    plain = texts.filter("plain").join(m, key).groupBy("host", "path").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * alone).alias("weight"), F.collect_list(F.when(alone < least, low)).alias("low"))
+    plain = cut_lineage(plain, "plain")
+
     parts = F.split("path", "/")
     branches = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    branch = known.select("host", F.explode(branches).alias("branch"), "n", "importance").groupBy("host", "branch").agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("importance"))
-    return branch.filter(F.col("importance") < least).groupBy("host").agg(F.collect_list("branch").alias("removed"))
+    nodes = known.unionByName(plain.select("host", "path", "n", "weight")).filter(F.size(parts) > 1)
+    branch = nodes.select("host", F.explode(branches).alias("branch"), "n", "weight").groupBy("host", "branch").agg((F.sum("weight") / F.sum("n")).alias("importance"))
+    found = branch.select("host", F.when(F.col("importance") < least, F.array("branch")).otherwise(F.array().cast("array<string>")).alias("low")).unionByName(plain.select("host", "low"))
+    return found.groupBy("host").agg(F.flatten(F.collect_list("low")).alias("removed"))
 
 
 def judge(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -264,7 +293,7 @@ def judge(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) ->
     removed = cut_lineage(removed_branches(hosted, least, min_pages), "branches")
 
     def run(ids: list, urls: list, sources: list, removed: list) -> Iterator[dict[str, list]]:
-        texts = [main_text(parse(s), frozenset(r or ())) for s, r in zip(sources, removed)]
+        texts = [main_text(parse(s), None if r is None else frozenset(r)) for s, r in zip(sources, removed)]
         yield {"page_id": ids, "url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
     joined = hosted.select(F.col("page_id").cast("long"), "url", "html", "host").join(removed, "host", "left")

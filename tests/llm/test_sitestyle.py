@@ -68,5 +68,18 @@ def test_importance_of_nodes(spark):
     assert {r["text"] for r in kept.collect()} == {f"the same lead\nown {i}\nJoin now" for i in range(9)}
 
 
+def test_plain_nodes_are_judged_by_text(spark):
+    """In the article the repeated lines go and their siblings stay; outside it importance decides as well."""
+    def page(i):
+        return f"<article><h1>Title {i}</h1><p>own {i}</p><p>Tell your friends</p><ul><li>point {i}<li>Print this</ul></article><div class=q>rest {i} of it</div><div class=z>Join now</div>"
+
+    rows = [(i, "https://art.example.com/x", page(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in sitestyle.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Title {i}\nown {i}\npoint {i}\nrest {i} of it" for i in range(9)}
+    few = [(0, "https://few.example.com/x", "<article>teaser</article><div>the long text itself</div>"), (1, "https://few.example.com/x", "<article>the long text</article><div>other</div>")]
+    got = {r["page_id"]: r["text"] for r in sitestyle.judge(spark.createDataFrame(few, SCHEMA)).collect()}
+    assert got == {0: "teaser\nthe long text itself", 1: "the long text"}
+
+
 def test_empty_table(spark):
     assert sitestyle.judge(spark.createDataFrame([], SCHEMA)).collect() == []
