@@ -3,12 +3,13 @@
 A text is cut into sentences (at line ends, and after . ! ? before white space). Sentences with a cue word are candidates, as are
 the sentences around them most of whose words occur in the templates; a run of candidates is a block. Each block, as lower-case
 words, is compressed alone and with each template as zstandard raw dictionary; the templates are ranked by the bytes that they
-save. In that order they are confirmed by the exact wording: the words of the template that the block lacks and the words it has
-beyond, as the least number of single-word differences against any stretch of the block. The first template whose
-differences are at most ``DIFFERENCE`` of its words is the block's license.
+save. They are confirmed by the exact wording: the words of the template that a stretch of the block lacks and the words it has
+beyond, as the least number of single-word differences. Every stretch with differences of at most ``DIFFERENCE`` of the template's
+words is confirmed; of overlapping ones that with most words less twice its differences stays. A block has a row for each.
 
-The compression ranks; only wording decides. A block without a confirmed template is reported as ``unconfirmed``, with
-the best ranked template as candidate where any saves bytes.
+The compression ranks; only wording decides: each template that could be within its differences by the words the block has
+is aligned, whatever it saves. A block without a confirmed template is reported as ``unconfirmed``, with the best ranked
+template as candidate where any saves bytes, and as a whole.
 
 Defined results: null and empty texts, and texts without a cue word, have no blocks and no rows. Offsets are code points, end exclusive. Ties in the
 ranking go to the longer template, then to the name that sorts first. Repeated rows are reported each. An empty table gives an
@@ -66,38 +67,66 @@ class Templates:
         return size, sorted(saved, key=lambda s: (-s[0], -len(self.words[s[1]]), s[1]))
 
     def judge(self, words: list[str]) -> tuple[str, str | None, int, int, int]:
-        """License, best ranked template, compressed size, bytes saved, word differences (of the license, else of the best ranked)."""
+        """The first of ``all`` but its place: the license with the most words less twice its differences."""
+        return max(self.all(words), key=lambda f: len(self.words.get(f[0], ())) - 2 * f[4])[:5]
+
+    def all(self, words: list[str]) -> list[tuple[str, str | None, int, int, int, int, int]]:
+        """Confirmed licenses by place, else one unconfirmed: license, best ranked template, compressed size, bytes saved, word differences
+        (of the license, else of the best ranked), first and last word + 1."""
         key = " ".join(words)
         if key not in self.known:
             if len(self.known) > 10_000:
                 self.known.clear()
             size, ranked = self.ranked(words)
-            ranked = [r for r in ranked if r[0] > 0]
-            result = (UNCONFIRMED, None, size, 0, -1)
-            for place, (saved, name) in enumerate(ranked):
-                differences = wording(self.words[name], words)
-                if place == 0:
-                    result = (UNCONFIRMED, name, size, saved, differences)
-                if differences <= DIFFERENCE * len(self.words[name]):
-                    result = (name, ranked[0][1], size, saved, differences)
-                    break
-            self.known[key] = result
+            best = ranked[0][1] if ranked and ranked[0][0] > 0 else None
+            matches = [(len(self.words[name]) - 2 * m[0], place, name, saved, *m) for place, (saved, name) in enumerate(ranked) for m in self.matches(name, words)]
+            taken: list[tuple] = []
+            for _, _, name, saved, differences, start, stop in sorted(matches, key=lambda m: (-m[0], m[1], m[5])):
+                if all(stop <= t[5] or start >= t[6] for t in taken):
+                    taken.append((name, best, size, saved, differences, start, stop))
+            if not taken:
+                taken.append((UNCONFIRMED, best, size, ranked[0][0] if best else 0, wording(self.words[best], words) if best else -1, 0, len(words)))
+            self.known[key] = sorted(taken, key=lambda t: t[5])
         return self.known[key]
 
+    def matches(self, name: str, words: list[str]) -> list[tuple[int, int, int]]:
+        """Confirmed stretches that don't overlap: differences, first and last word + 1."""
+        template = self.words[name]
+        limit, have = int(DIFFERENCE * len(template)), set(words)
+        if sum(w not in have for w in template) > limit:
+            return []
+        differences, starts = alignments(template, words)
+        ends = np.flatnonzero(differences <= limit)
+        out: list[tuple[int, int, int]] = []
+        free = np.ones(len(words) + 1, dtype=bool)
+        for stop in ends[np.argsort(differences[ends], kind="stable")].tolist():
+            start = int(starts[stop])
+            if start < stop and free[start:stop].all():
+                free[start:stop] = False
+                out.append((int(differences[stop]), start, stop))
+        return out
+
+
+def alignments(template: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in the block: the least number of words to insert, delete or replace to make the template of a stretch with that
+    end, and where the shortest such stretch starts."""
+    numbers: dict[str, int] = {}
+    text = np.array([numbers.setdefault(w, len(numbers)) for w in block], dtype=np.int64)
+    n = len(text) + 1
+    steps = np.arange(n, dtype=np.int64) * n
+    row = n - 1 - np.arange(n, dtype=np.int64)  # differences * n + words after the start; a stretch may start anywhere
+    for i, word in enumerate(template, 1):
+        change = row[:-1] + n * (text != numbers.get(word, -1))
+        row = np.concatenate(([i * n + n - 1], np.minimum(change, row[1:] + n)))
+        row = np.minimum.accumulate(row - steps) + steps
+    return row // n, n - 1 - row % n
+
 
 def wording(template: list[str], block: list[str]) -> int:
     """The least number of words to insert, delete or replace to make the template of some stretch of the block."""
     if not set(template) & set(block):
         return len(template)
-    numbers: dict[str, int] = {}
-    text = np.array([numbers.setdefault(w, len(numbers)) for w in block])
-    row = np.zeros(len(text) + 1, dtype=np.int64)  # a stretch may start anywhere
-    steps = np.arange(len(text) + 1)
-    for i, word in enumerate(template, 1):
-        change = row[:-1] + (text != numbers.get(word, -1))
-        row = np.concatenate(([i], np.minimum(change, row[1:] + 1)))
-        row = np.minimum.accumulate(row - steps) + steps
-    return int(row.min())
+    return int(alignments(template, block)[0].min())
 
 
 def blocks_of(text: str, vocabulary: set[str]) -> list[tuple[int, int]]:
@@ -142,21 +171,22 @@ def blocks_of(text: str, vocabulary: set[str]) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "doc_id long, start long, stop long, license string, candidate string, n_words long, bytes_alone long, bytes_saved long, n_different long"
+SCHEMA = "doc_id long, start long, stop long, license string, candidate string, n_words long, bytes_alone long, bytes_saved long, n_different long, match_start long, match_stop long"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row per block: doc_id, start, stop, license, candidate (best ranked template), sizes and number of word differences."""
+    """One row per license of a block: doc_id, start, stop (of the block), license, candidate (best ranked template), sizes, number
+    of word differences, match_start, match_stop (of the license's wording)."""
 
     def run(ids: list, texts: list) -> Iterator[dict[str, list]]:
         known = Templates(templates)
         rows: list[tuple] = []
         for i, text in zip(ids, texts):
             for start, stop in blocks_of(text, known.vocabulary) if text else ():
-                words = words_of(text[start:stop])
-                if words:
-                    name, candidate, size, saved, differences = known.judge(words)
-                    rows.append((i, start, stop, name, candidate, len(words), size, saved, differences))
+                spans = [m.span() for m in _WORD.finditer(text, start, stop)]
+                words = [text[a:b].lower() for a, b in spans]
+                for name, candidate, size, saved, differences, first, last in known.all(words) if words else ():
+                    rows.append((i, start, stop, name, candidate, len(words), size, saved, differences, spans[first][0], spans[last - 1][1]))
         names = [part.split()[0] for part in SCHEMA.split(", ")]
         yield {n: [r[k] for r in rows] for k, n in enumerate(names)}
 

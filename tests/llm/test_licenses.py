@@ -59,6 +59,18 @@ def test_scan(spark):
     assert [(r["license"], r["n_different"] < 40) for r in got[5]] == [("MIT", True)]
 
 
+def test_each_license_of_a_block(spark):
+    bsd = TEMPLATES["BSD-3-Clause"]
+    texts = [f"{APACHE} Released under the MIT License.", f"Copyright 2020 Jane Doe. All rights reserved.\n{bsd}", f"{MIT}\n\n{TEMPLATES['Apache-2.0']} {APACHE}"]
+    got = [[], [], []]
+    for r in licenses.scan(documents(spark, texts)).collect():
+        text = texts[r["doc_id"]]
+        assert (r["start"], r["stop"], r["n_different"]) == (0, len(text), 0)
+        got[r["doc_id"]].append((r["match_start"], r["license"], text[r["match_start"]:r["match_stop"]]))
+    assert [[x[1] for x in sorted(g)] for g in got] == [["Apache-2.0-notice", "MIT-notice"], ["Proprietary", "BSD-3-Clause"], ["MIT", "Apache-2.0", "Apache-2.0-notice"]]
+    assert [x[2] for x in sorted(got[0])] == [APACHE[:-1], "Released under the MIT License"]
+
+
 def test_ranking_is_by_saved_bytes():
     known = licenses.Templates(TEMPLATES)
     size, ranked = known.ranked(licenses.words_of(MIT + " and some more words"))
