@@ -5,7 +5,7 @@ the sentences around them most of whose words occur in the templates; a run of c
 words, is compressed alone and with each template as zstandard raw dictionary; the templates are ranked by the bytes that they
 save. They are confirmed by the exact wording: the words of the template that a stretch of the block lacks and the words it has
 beyond, as the least number of single-word differences. Every stretch with differences of at most ``DIFFERENCE`` of the template's
-words is confirmed; of overlapping ones that with most words less twice its differences stays. A block has a row for each.
+words, and with exactly the template's distinguishing words (family, version, clause; ``marks_of``), is confirmed; of overlapping ones that with most words less twice its differences stays. A block has a row for each.
 
 The compression ranks; only wording decides: each template that could be within its differences by the words the block has
 is aligned, whatever it saves. A block without a confirmed template is reported as ``unconfirmed``, with the best ranked
@@ -19,6 +19,7 @@ empty result. Blocks are whole, however long: a block is scanned in windows of t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,12 @@ UNCONFIRMED = "unconfirmed"
 # Words one of which any license sentence holds.
 CUES = ("licens", "licenc", "copyright", "rights reserved", "warrant", "permission", "redistribut", "public domain", "free software", "spdx", "unencumbered")
 
+# Words that tell licenses of like wording apart.
+MARKS = frozenset(
+    "mit bsd isc apache mozilla mpl eclipse epl zlib boost gpl lgpl agpl lesser affero cc0 attribution sharealike noncommercial noderivatives noderivs nc sa nd "
+    "later endorse advertising".split())
+
+_DECIMAL = re.compile(r"v?[0-9]+(?:\.[0-9]+)+")
 _CUE = re.compile("|".join(CUES), re.I | re.A)
 _SENTENCE = re.compile(r"\n|(?<=[.!?])[^\S\n]")
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -46,11 +53,31 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def marks_of(words: list[str]) -> list[tuple[int, str]]:
+    """Distinguishing words with their places: fixed ones, decimal numbers, the number after "version", the clauses of a BSD license."""
+    out = []
+    for i, word in enumerate(words):
+        parts = word.split("-")
+        if "clause" in parts or (parts[0].isdigit() and words[i + 1:i + 2] == ["clause"]):
+            out.append((i, f"{next((p for p in parts if p.isdigit()), '')}-clause"))
+        for part in parts:
+            if part in MARKS:
+                out.append((i, part))
+            elif _DECIMAL.fullmatch(part):
+                out.append((i, part.removeprefix("v").removesuffix(".0")))
+            elif part.removeprefix("v").isdigit() and (part[0] == "v" or i and words[i - 1] in ("version", "v")):
+                out.append((i, part.removeprefix("v")))
+        if word == "library" and words[i + 1:i + 2] == ["general"]:
+            out.append((i, word))
+    return out
+
+
 class Templates:
     """Compressors and words of the templates; one for a task."""
 
     def __init__(self, texts: dict[str, str]):
         self.words = {name: words_of(text) for name, text in sorted(texts.items())}
+        self.marks = {name: {mark for _, mark in marks_of(words)} for name, words in self.words.items()}
         self.vocabulary = {w for words in self.words.values() for w in words}
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
         self.given = {
@@ -79,7 +106,8 @@ class Templates:
                 self.known.clear()
             size, ranked = self.ranked(words)
             best = ranked[0][1] if ranked and ranked[0][0] > 0 else None
-            matches = [(len(self.words[name]) - 2 * m[0], place, name, saved, *m) for place, (saved, name) in enumerate(ranked) for m in self.matches(name, words)]
+            marks = marks_of(words)
+            matches = [(len(self.words[name]) - 2 * m[0], place, name, saved, *m) for place, (saved, name) in enumerate(ranked) for m in self.matches(name, words, marks)]
             taken: list[tuple] = []
             for _, _, name, saved, differences, start, stop in sorted(matches, key=lambda m: (-m[0], m[1], m[5])):
                 if all(stop <= t[5] or start >= t[6] for t in taken):
@@ -89,19 +117,20 @@ class Templates:
             self.known[key] = sorted(taken, key=lambda t: t[5])
         return self.known[key]
 
-    def matches(self, name: str, words: list[str]) -> list[tuple[int, int, int]]:
+    def matches(self, name: str, words: list[str], marks: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
         """Confirmed stretches that don't overlap: differences, first and last word + 1."""
         template = self.words[name]
         limit, have = int(DIFFERENCE * len(template)), set(words)
-        if sum(w not in have for w in template) > limit:
+        if sum(w not in have for w in template) > limit or not self.marks[name].issubset(mark for _, mark in marks):
             return []
         differences, starts = alignments(template, words)
         ends = np.flatnonzero(differences <= limit)
         out: list[tuple[int, int, int]] = []
-        free = np.ones(len(words) + 1, dtype=bool)
+        free, places = np.ones(len(words) + 1, dtype=bool), [i for i, _ in marks]
         for stop in ends[np.argsort(differences[ends], kind="stable")].tolist():
             start = int(starts[stop])
-            if start < stop and free[start:stop].all():
+            inside = marks[bisect_left(places, start):bisect_left(places, stop)]
+            if start < stop and {mark for _, mark in inside} == self.marks[name] and free[start:stop].all():
                 free[start:stop] = False
                 out.append((int(differences[stop]), start, stop))
         return out

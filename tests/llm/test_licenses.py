@@ -71,6 +71,23 @@ def test_each_license_of_a_block(spark):
     assert [x[2] for x in sorted(got[0])] == [APACHE[:-1], "Released under the MIT License"]
 
 
+def test_wording_that_tells_licenses_apart():
+    gpl = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free "
+           "Software Foundation; either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+           "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General "
+           "Public License for more details.")
+    long = "This work is licensed under a Creative Commons {} 4.0 International License."
+    cases = {
+        gpl.format("", 2): "GPL-2.0-or-later", gpl.format("", 3): "GPL-3.0-or-later", gpl.format("Lesser ", 3): "LGPL-3.0-or-later", gpl.format("Affero ", 3): "AGPL-3.0-or-later",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-NC 2.5.": "unconfirmed",
+        long.format("Attribution-NonCommercial"): "CC-BY-NC-4.0", long.format("Attribution-ShareAlike"): "CC-BY-SA-4.0", "Licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "Released under the ISC License.": "ISC", "Released under the Foo License.": "unconfirmed", "Licensed under the BSD 2-Clause License": "BSD-2-Clause", TEMPLATES["BSD-2-Clause"]: "BSD-2-Clause"}
+    known = licenses.Templates(TEMPLATES)
+    for text, want in cases.items():
+        (got,) = known.all(licenses.words_of(text))
+        assert got[0] == want or got[0].startswith(want + "-") and got[0].removeprefix(want + "-") in ("notice", "short", "long", "first"), (text, got)
+
+
 def test_ranking_is_by_saved_bytes():
     known = licenses.Templates(TEMPLATES)
     size, ranked = known.ranked(licenses.words_of(MIT + " and some more words"))
