@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,25 +141,39 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
     """Fit on text and language of rows that are not held out; docs needs doc_id, text and lang.
 
-    The sample is chosen by ids and languages alone; only the chosen rows' texts are turned to n-grams, on the executors.
+    The sample is chosen by ids and languages alone; only the chosen rows' texts are turned to n-grams, on the executors. Of rows
+    with the same id and language one with a letter stays, that with the least hash of its n-grams.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).select("doc_id", "lang", order.alias("rank_hash"))
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).select("doc_id", "lang", order.alias("rank_hash")).distinct()
     best = Window.partitionBy("lang").orderBy("rank_hash", "doc_id")
-    ids = usable.withColumn("rank_in", F.row_number().over(best)).filter(F.col("rank_in") <= per_language).select("doc_id", "lang").distinct()
-    schema = T._parse_datatype_string("lang string, doc_id long, places binary")
+    ids = usable.withColumn("rank_in", F.row_number().over(best)).filter(F.col("rank_in") <= per_language).select("doc_id", "lang")
+    schema = T._parse_datatype_string("lang string, doc_id long, hash long, places binary")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scratch = np.zeros(PLACES, dtype=np.uint8)
+        scratch, least = np.zeros(PLACES, dtype=np.uint8), {}
         for batch in batches:
-            rows = [(lang, i, row.astype(np.uint16).tobytes()) for lang, i, text in zip(*(c.to_pylist() for c in batch.columns)) if (row := present(text, scratch)) is not None]
+            rows = []
+            for lang, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (row := present(text, scratch)) is not None:
+                    places = row.astype(np.uint16).tobytes()
+                    number = xxhash.xxh64_intdigest(places) >> 1
+                    if number < least.get((lang, i), 1 << 64):  # only improvements leave the task
+                        least[lang, i] = number
+                        rows.append((lang, i, number, places))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(to_arrow_schema(schema))], schema=to_arrow_schema(schema))
 
-    # At most per_language ids of each language.
+    # At most per_language ids of each language, and a row of each.
     sample = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(grams, schema)
+    sample = sample.groupBy("lang", "doc_id").agg(F.min_by("places", "hash").alias("places"))
     return fit([(r["lang"], r["doc_id"], np.frombuffer(r["places"], dtype=np.uint16).astype(np.int64)) for r in sample.collect()], landmarks_per_language, ridge)
 
 
+def any_language() -> Model:
+    """A model that tells texts with a letter from those without, where there is nothing to learn from."""
+    return Model(["mul"], np.zeros((PLACES, 1), np.uint8), np.ones(1), np.zeros((1, 1)))
+
+
 def predict(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """docs with the predicted language and its score; reads nothing but the text."""
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])

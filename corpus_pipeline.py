@@ -11,11 +11,12 @@ from beleg.session import configure
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is unknown (no text, no letter) go. Nothing is read from lang but what the model learns from."""
+    """Documents without a letter go, whether or not there are rows to learn from. Nothing is read from lang but what the model learns from."""
     configure(spark)
     lang, score = spare_name(docs, "lang_pred"), spare_name(docs, "lang_score")
-    known = language.predict(docs, language.train(docs), lang, score)
-    return known.filter(F.col(lang) != language.UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
+    model = language.train(docs)
+    known = language.predict(docs, model if model.languages else language.any_language(), lang, score)
+    return known.filter((F.col(lang) != language.UNKNOWN) | (F.col(score) > 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,17 @@ def test_prediction_reads_only_text_and_learns_only_from_training_rows(spark):
     assert by_id[None][1:3] == (False, "aa")
 
 
+def test_one_row_of_each_id_is_learnt_from(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"the cat {'x' * i}", "aa", "s", None) for i in ids[:20]]
+    copies = [(ids[0], f"the dog {'y' * k}" if k % 2 else "12", "aa", "s", None) for k in range(500)]
+    sizes, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda sample, *settings: sizes.append([r[:2] for r in sample]) or fit(sample, *settings))
+    for per_language in (160, 5):
+        language.train(spark.createDataFrame(rows + copies, DOCUMENTS).repartition(3), per_language)
+    assert [(len(s), len(set(s))) for s in sizes] == [(20, 20), (5, 5)]
+
+
 def test_nothing_to_learn_from(spark):
     docs = documents(spark, ["some text"])
     assert [tuple(r)[2:] for r in language.judge(docs).collect()] == [("und", 0.0)]

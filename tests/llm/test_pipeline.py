@@ -44,3 +44,8 @@ def test_run_and_extra_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, FOLDER)
         assert empty.collect() == []
+
+
+def test_documents_without_any_label_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "12 %", None, "s", 4), (3, None, None, "s", None), (4, "é", None, "s", 1)], DOCUMENTS)
+    assert sorted(rows_of(corpus_pipeline.identify_language(spark, docs, FOLDER))) == [(1, "some text"), (4, "é")]
