@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from beleg.llm import decontaminate, language, licenses, lines, mix, ordermin, personal, simhash, sitestyle, urls
+from beleg.llm import conversations, decontaminate, language, licenses, lines, merkle, mix, ordermin, packing, personal, simhash, sitestyle, urls
 from beleg.llm.tables import read_table
 from beleg.session import configure
 
@@ -99,6 +99,21 @@ FROM d LEFT JOIN positions AS p ON p.doc_id = d.doc_id LEFT JOIN found AS f ON f
 """
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.judge(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.judge(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
