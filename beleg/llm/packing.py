@@ -5,8 +5,8 @@ own, and a tail. Tails are dealt to groups of about ``group_tokens`` ids; in eac
 open window with the least room that holds them. A segment tree over the remaining capacities finds that window in
 log2(window) steps. Ids travel in the pieces only; what is planned are lengths.
 
-Ids are found word by word: a text is cut before a single space or line feed between other characters, where the tokenizer's
-own splitting always cuts, so words met before need no second encoding and no text is held as one encoding, however long.
+Ids are found word by word: a text is cut after words, where the tokenizer's own splitting always cuts, so words met before need
+no second encoding and no text is held as one encoding, however long. Words that are new are encoded many at a time.
 
 Groups are dealt by a hash of the place in the pieces table, not by a column, so no key makes a group large: their number
 follows the ids of all tails. The pieces table is written before it is planned, so places stay as they are when an executor
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -40,11 +42,11 @@ END_ID = 0
 GROUP_TOKENS = 1 << 22
 CACHED_WORDS = 1 << 18
 CACHED_LENGTH = 64  # longer words are encoded whenever they come
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 22  # of ids that leave a task at a time
 
-# Where a single space or line feed stands between two other characters, a word begins with it; after the line feed another.
-_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S ]")  # in a line without these, words are what stands between spaces
+# White space that is not one space or line feed between two other characters.
+_ODD = re.compile(r"(^\s+|\s+\Z|\s\s+|[^\S \n])")
 
 
 def default_tokenizer() -> str:
@@ -53,32 +55,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def words_of(text: str) -> list[str]:
-    """The text in words whose encodings, one after another, are the encoding of the text."""
-    out: list[str] = []
-    if _ODD.search(text) is None:
-        first, *rest = text.split(" ")
-        return [first, *(" " + w for w in rest)] if text else out
-    whole = "\n" not in text
-    for k, word in enumerate(_CUT.split(text) if whole else text.split("\n")):
-        if whole:
-            out.append(word)
-        elif k == 0:
-            lines = [word]
-        elif word and lines[-1] and not word[0].isspace() and not lines[-1][-1].isspace():
-            lines.append(word)
-        else:  # white space meets this line feed: the two lines are one
-            lines[-1] += "\n" + word
-    if not whole:
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            if _ODD.search(line) is None:
-                first, *rest = line.split(" ")
-                out.append(first)
-                out += [" " + w for w in rest]
-            else:
-                out += [w for w in _CUT.split(line) if w]
+def lines_of(text: str) -> list[tuple[str, list[str]]]:
+    """The text as heads and the words that follow them, each after one space: what is encoded on its own, one after another.
+
+    A head is the first word of the text or of a line with the white space before it.
+    """
+    if " ".join(text.split()) == text.replace("\n", " "):  # no other white space, and none at the ends
+        runs = ["", text]
+    else:
+        runs = ["", *_ODD.split(text)]
+        if not runs[1]:  # the text begins with white space
+            runs = runs[2:]
+    out = []
+    for run, regular in zip(runs[::2], runs[1::2]):
+        for k, line in enumerate(regular.split("\n")):
+            first, *rest = line.split(" ")
+            out.append((("\n" if k else run) + first, rest))
     return out
 
 
@@ -89,31 +81,67 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}  # of a word after a space
+        self.heads: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words of the last time that there were too many
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Many words are one text; only their first ids begin with a space."""
+        for at in range(0, len(words), 200):
+            some = words[at:at + 200]
+            ids = self._encode([" " + " ".join(some)])[0]
+            starts = np.flatnonzero(self.spaced[np.frombuffer(ids, dtype="<u4")]) * 4
+            if len(starts) != len(some):
+                yield from self._encode([" " + w for w in some])
+                continue
+            cuts = [*starts.tolist(), len(ids)]
+            yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
-            split, size = [], 0
+            split, size, words, heads = [], 0, set(), set()
             while at < len(texts) and (not split or size < BATCH_CHARS):
                 size += len(texts[at] or "")
-                split.append(words_of(texts[at]) if texts[at] else [])
+                split.append(lines_of(texts[at]) if texts[at] else [])
+                for head, rest in split[-1]:
+                    heads.add(head)
+                    words.update(rest)
                 at += 1
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            new = list({w for words in split for w in words} - self.known.keys())
-            now = dict(zip(new, self._encode(new))) if new else {}
-            self.known.update((w, ids) for w, ids in now.items() if len(w) <= CACHED_LENGTH)
-            now = self.known if all(len(w) <= CACHED_LENGTH for w in new) else self.known | now
-            for words in split:
-                yield b"".join([now[w] for w in words])
-
-
-_ENCODERS: dict[str, Encoder] = {}
+            if len(self.words) > CACHED_WORDS:
+                self.words, self.older = {}, self.words
+            if len(self.heads) > CACHED_WORDS:
+                self.heads.clear()
+            words -= self.words.keys()
+            again = words & self.older.keys()
+            self.words.update((w, self.older[w]) for w in again)
+            new_words, new_heads = list(words - again), list(heads - self.heads.keys())
+            self.words.update(zip(new_words, self._encode_words(new_words)))
+            self.heads.update(zip(new_heads, self._encode(new_heads) if new_heads else ()))
+            word, head = self.words.__getitem__, self.heads.__getitem__
+            for lines in split:
+                out = []
+                for first, rest in lines:
+                    out.append(head(first))
+                    out.extend(map(word, rest))
+                yield b"".join(out)
+            for known, new in ((self.words, new_words), (self.heads, new_heads)):
+                for w in new:
+                    if len(w) > CACHED_LENGTH:
+                        del known[w]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: it is kept from task to task."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -127,12 +155,17 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     target, end = to_arrow_schema(schema), np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
         part, n_full, n_tails = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             rows: list[tuple] = []
-            for k, ids in enumerate(_ENCODERS[path](batch.column(1).to_pylist())):
+            size = 0
+
+            def out() -> pa.RecordBatch:
+                columns = list(zip(*rows)) or [[]] * 7
+                ids_of = batch.column(0).take(pa.array(columns[0], pa.int64()))
+                return pa.RecordBatch.from_arrays([ids_of.cast(target.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(columns[1:], list(target)[1:]))], schema=target)
+
+            for k, ids in enumerate(encoder(path)(batch.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
@@ -140,9 +173,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
                     full = length == window
                     rows.append((k, start, length, n, ids[4 * start:4 * (start + length)], part, n_full if full else n_tails))
                     n_full, n_tails = n_full + full, n_tails + (not full)
-            columns = list(zip(*rows)) or [[]] * 7
-            ids_of = batch.column(0).take(pa.array(columns[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids_of.cast(target.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(columns[1:], list(target)[1:]))], schema=target)
+                size += len(ids)
+                if size >= BATCH_BYTES:
+                    yield out()
+                    rows.clear()
+                    size = 0
+            yield out()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

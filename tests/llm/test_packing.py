@@ -31,7 +31,7 @@ def test_words_encode_like_the_whole_text(tokenizer):
     texts = TEXTS + ["".join(rng.choices(["a", "Bc", "é", "1", "22", ".", "'s", "'", " ", "  ", "\n", "\t", "　", "\xa0", "字"], k=rng.randint(1, 60))) for _ in range(3000)]
     found = list(packing.Encoder(packing.default_tokenizer())(texts))
     for text, ids in zip(texts, found):
-        assert "".join(packing.words_of(text)) == text
+        assert "".join(" ".join([head, *rest]) for head, rest in packing.lines_of(text)) == text
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -41,7 +41,7 @@ def test_cache_is_emptied_and_long_words_are_not_kept(monkeypatch, tokenizer):
     encoder = packing.Encoder(packing.default_tokenizer())
     texts = TEXTS * 2
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert all(len(w) <= packing.CACHED_LENGTH for w in encoder.known)
+    assert encoder.words and all(len(w) <= packing.CACHED_LENGTH for w in [*encoder.words, *encoder.heads])
 
 
 def plain_best_fit(lengths, window):
