@@ -17,6 +17,7 @@ Repeated rows are predicted one by one. An empty table gives an empty result. Ot
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ PER_LANGUAGE = 160
 LANDMARKS_PER_LANGUAGE = 16
 RIDGE = 0.1
 PLACES = 1 << 16
+BATCH = 32  # texts whose kernel values are taken at a time
 UNKNOWN = "und"
 
 _FOLD: np.ndarray | None = None
@@ -85,7 +87,7 @@ class Model:
         common = np.add.reduceat(self.landmarks[np.concatenate(rows)], starts, axis=0, dtype=np.float32)
         return common * self.scale / np.sqrt([[len(r)] for r in rows])
 
-    def predict(self, texts: list[str | None], batch: int = 32) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], batch: int = BATCH) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         places, rows, at = np.zeros(PLACES, dtype=np.uint8), [], []
 
@@ -123,14 +125,21 @@ def fit(rows: list[tuple[str, int, np.ndarray]], landmarks_per_language: int = L
     for j, (_, _, row) in enumerate(chosen):
         landmarks[row, j] = 1
     model = Model(languages, landmarks, 1 / np.sqrt([len(r[2]) for r in chosen]), np.zeros((len(chosen), len(languages))))
-    values, vectors = np.linalg.eigh(model.kernel([r[2] for r in chosen]).astype(np.float64))
+    own_kernel = np.concatenate([model.kernel([r[2] for r in chosen[at:at + BATCH]]) for at in range(0, len(chosen), BATCH)])
+    values, vectors = np.linalg.eigh(own_kernel.astype(np.float64))
     sound = values > 1e-6 * values.max()
     root = vectors[:, sound] / np.sqrt(values[sound])
-    features = model.kernel([r[2] for r in rows]) @ root
-    target = np.where(np.array([[r[0] == language for language in languages] for r in rows]), 1.0, -1.0)
-    balance = np.array([1 / sum(q[0] == r[0] for q in rows) for r in rows])[:, None] * len(rows) / len(languages)
-    weights = np.linalg.solve(features.T @ (balance * features) + ridge * np.eye(features.shape[1]), features.T @ (balance * target))
-    model.coefficients = root @ weights
+    # Only the sums of the products are held; the kernel's rows come a batch at a time.
+    counts = Counter(r[0] for r in rows)
+    square, right = ridge * np.eye(root.shape[1]), np.zeros((root.shape[1], len(languages)))
+    for at in range(0, len(rows), BATCH):
+        some = rows[at:at + BATCH]
+        features = model.kernel([r[2] for r in some]) @ root
+        target = np.where(np.array([[r[0] == language for language in languages] for r in some]), 1.0, -1.0)
+        balance = np.array([[len(rows) / len(languages) / counts[r[0]]] for r in some])
+        square += features.T @ (balance * features)
+        right += features.T @ (balance * target)
+    model.coefficients = root @ np.linalg.solve(square, right)
     return model
 
 
@@ -166,7 +175,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks_per_langu
     # At most per_language ids of each language, and a row of each.
     sample = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(grams, schema)
     sample = sample.groupBy("lang", "doc_id").agg(F.min_by("places", "hash").alias("places"))
-    return fit([(r["lang"], r["doc_id"], np.frombuffer(r["places"], dtype=np.uint16).astype(np.int64)) for r in sample.collect()], landmarks_per_language, ridge)
+    return fit([(r["lang"], r["doc_id"], np.frombuffer(r["places"], dtype=np.uint16)) for r in sample.collect()], landmarks_per_language, ridge)
 
 
 def any_language() -> Model:
