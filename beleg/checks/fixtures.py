@@ -148,10 +148,10 @@ FIXTURES: dict[str, str] = {
               FROM {orders})""",
     "facts": """
         SELECT doc_id, c_name AS s,
-               CASE o_orderkey % 3 WHEN 0 THEN 'is part of' WHEN 1 THEN 'Teil von' ELSE 'supplies' END AS p, n_name AS o
+               CASE o_orderkey % 3 WHEN 0 THEN 'resides in' WHEN 1 THEN 'Wohnhaft in' ELSE 'supplies' END AS p, n_name AS o
         FROM {graph_docs} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey
         UNION ALL
-        SELECT doc_id, n_name, CASE o_orderkey % 10 WHEN 0 THEN 'are part of' ELSE ' lies in ' END, r_name
+        SELECT doc_id, n_name, CASE o_orderkey % 10 WHEN 0 THEN 'belongs to' ELSE ' lies in ' END, r_name
         FROM {graph_docs} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey
              JOIN {region} ON r_regionkey = n_regionkey
         WHERE o_orderkey % 5 = 0""",

@@ -64,7 +64,7 @@ PARTS: dict[str, str] = {
             CASE WHEN v.key IS NULL THEN 'unresolved' WHEN v.senses IS NOT NULL THEN 'contested' WHEN v.generic THEN 'generic' ELSE 'best' END AS outcome,
             v.slug, v.type, v.senses
         FROM lab LEFT JOIN vocab_alias v ON v.key = lower(trim(label_text))""",
-    "preds": """SELECT DISTINCT slug, CASE WHEN lower(slug) IN ('is_part_of', 'are_part_of', 'teil_von') THEN 'part-of' END AS canonical FROM rel""",
+    "preds": """SELECT DISTINCT slug, CASE WHEN lower(slug) IN ('resides_in', 'belongs_to', 'wohnhaft_in') THEN 'located-in' END AS canonical FROM rel""",
     "overlay_label": _rows("resolved",
             _iri(f"'{B}label/' || lid", B + "canonicalTerm", f"'{TERMS}' || slug") ) + " WHERE outcome = 'best'"
         + f"\nUNION ALL\nSELECT '{B}label/' || lid, '{B}matchRule', 'exact', 'literal', '{XSD}string' FROM resolved WHERE outcome = 'best'"
@@ -80,8 +80,8 @@ PARTS: dict[str, str] = {
     "overlay_pred": f"""SELECT '{B}relprop/' || slug AS s, '{B}canonicalPredicate' AS p, '{B}rel/' || canonical AS o, 'iri' AS o_kind, NULL::varchar AS o_type FROM preds WHERE canonical IS NOT NULL
         UNION ALL SELECT '{B}relprop/' || slug, '{B}accordingTo', '{GLOSSARY}', 'iri', NULL FROM preds WHERE canonical IS NOT NULL
         UNION ALL SELECT DISTINCT '{B}rel/' || canonical, '{RDF}type', '{B}ControlledPredicate', 'iri', NULL FROM preds WHERE canonical IS NOT NULL
-        UNION ALL SELECT DISTINCT '{B}rel/' || canonical, '{B}definition', 'The subject is a constituent of the object.', 'literal', '{XSD}string' FROM preds WHERE canonical IS NOT NULL
-        UNION ALL SELECT DISTINCT '{B}rel/' || canonical, '{B}inversePredicate', '{B}rel/includes', 'iri', NULL FROM preds WHERE canonical IS NOT NULL
+        UNION ALL SELECT DISTINCT '{B}rel/' || canonical, '{B}definition', 'Where a party is found.', 'literal', '{XSD}string' FROM preds WHERE canonical IS NOT NULL
+        UNION ALL SELECT DISTINCT '{B}rel/' || canonical, '{B}inversePredicate', '{B}rel/houses', 'iri', NULL FROM preds WHERE canonical IS NOT NULL
         UNION ALL SELECT DISTINCT '{B}rel/' || canonical, '{B}symmetric', 'false', 'literal', '{XSD}boolean' FROM preds WHERE canonical IS NOT NULL""",
     "overlay_node": f"""SELECT DISTINCT '{GLOSSARY}' AS s, '{RDF}type' AS p, '{B}GlossaryVersion' AS o, 'iri' AS o_kind, NULL::varchar AS o_type FROM vocab_alias
         UNION ALL SELECT DISTINCT '{GLOSSARY}', '{B}contentHash', '{CONTENT_HASH}', 'literal', '{XSD}string' FROM vocab_alias

@@ -16,6 +16,8 @@ from beleg.functions.text import is_blank, null_if_empty, strip
 from beleg.operators.annotate import bases, extraction_method, is_projection, span
 
 _ROW_MARK = "\u0001"
+# What the mark, and the sign that stands for it, are while rows are marked: no word characters, so word boundaries stay.
+_STAND_INS = (("\u0002", "\u0002?"), ("\u0001", "\u0002!"))
 
 
 def data_blocks(text: Column) -> Column:
@@ -60,7 +62,11 @@ def split_block(blocks: DataFrame, block: str = "raw_block") -> DataFrame:
     """Note, columns and raw row texts; blocks without a column or a row are dropped."""
     raw = F.col(block)
     body = F.regexp_replace(raw, java_pattern(rf"{M.PROSE_MARKER}.*\z", dotall=True), "")
-    parts = F.split(F.regexp_replace(body, java_pattern(M.ROW_START), _ROW_MARK + "$0"), _ROW_MARK)
+    masked, unmasked = body, lambda part: part
+    for sign, stand_in in _STAND_INS:
+        masked = F.replace(masked, F.lit(sign), F.lit(stand_in))
+        unmasked = lambda part, back=unmasked, s=sign, t=stand_in: back(F.replace(part, F.lit(t), F.lit(s)))
+    parts = F.transform(F.split(F.regexp_replace(masked, java_pattern(M.ROW_START), _ROW_MARK + "$0"), _ROW_MARK), lambda part: unmasked(part))
     names = F.filter(F.transform(F.split(F.element_at("_parts", 1), ","), strip), lambda c: c != "")
     note = strip(F.substring(raw, F.length("_body") + 1, F.length(raw)))
     return (

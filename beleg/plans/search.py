@@ -80,11 +80,9 @@ def search(
 def timeline_queries(requests: DataFrame) -> DataFrame:
     """One question per request and year; a bad range fails the job with its reason."""
     span = F.col("end_year") - F.col("start_year") + 1
-    checked = F.when(F.col("start_year") > F.col("end_year"), F.raise_error(F.format_string(
-        "start_year (%s) must be less than or equal to end_year (%s)", "start_year", "end_year"))
-    ).when(span > MAX_TIMELINE_YEARS, F.raise_error(F.format_string(
-        f"year range %s-%s is too long; at most {MAX_TIMELINE_YEARS} years can be queried per call", "start_year", "end_year"))
-    ).otherwise(F.sequence("start_year", "end_year"))
+    backwards = F.format_string("the range ends in %s, before it starts in %s", "end_year", "start_year")
+    too_long = F.format_string(f"%s years from %s on are asked for, {MAX_TIMELINE_YEARS} are allowed", span, "start_year")
+    checked = F.when(span < 1, F.raise_error(backwards)).when(span > MAX_TIMELINE_YEARS, F.raise_error(too_long)).otherwise(F.sequence("start_year", "end_year"))
     return requests.withColumn("year", F.explode(checked)).select(
         F.concat_ws("|", "request_id", "year").alias("query_id"), "request_id", "start_year", "year",
         F.concat_ws(" ", "metric", "year").alias("question"),

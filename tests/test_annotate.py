@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,38 +36,38 @@ def test_first_pattern_in_order_gives_the_evidence(spark):
     assert evaluate(spark, A.bases, "sold first, then Absatz")[0][0].evidence == "Absatz"
 
 
-@pytest.mark.parametrize(
-    "text,years",
-    [
-        ("Year,Trips 2003,9 2008,17 2016,44 2017,51", [2003, 2008, 2016, 2017]),
-        ("Die Mole misst 2310 m im Jahr 2009", [2009]),
-        ("rund 2'310 Meter", None),
-        ("Deck 2014m² und 2013 m2, Stand 2006", [2006]),
-        ("2014 m²x zählt", [2014]),
-        ("Hier steht keine Zahl.", None),
-        ("", None),
-        ("2004 beschlossene Energiestrategie 2050, gültig bis 2013.", [2004, 2013]),
-        ("Energieperspektiven 2050+ und Zahlen von 2006", [2006]),
-        ("Blatt 1234, Stand 2011; 1899; 2100; 2101; 2011.5", [2011, 2100]),
-    ],
-)
-def test_years_covered(spark, text, years):
-    got = evaluate(spark, A.years_covered, text)[0]
-    assert (got.years if got else None) == years
-    if years:
-        assert (got.min, got.max) == (years[0], years[-1])
+UNITS = "MW MWp MWh GW GWh kW kWh TW TWh TJ GJ PJ MJ m2 m² km2".split()
+PROGRAMMES = "Energiestrategie Energieperspektiven Perspektiven Strategie Szenarien Szenario Programm Agenda".split()
 
 
-@pytest.mark.parametrize(
-    "text,n_reasons",
-    [
-        ("Lifts by year: - 1979: ~19 - 1980: ~", 1), ("<data>Year,V 2001,1", 1), ("</description> <data>Year,V 2001,1</data>", 1),
-        ("Im Jahr 2011 kamen 412 Schiffe an.", 0), ("<data>Year,V 2001,1</data>", 0), ("", 0), (" \n ", 0), (None, 0),
-        ("</p> <data>x:", 3), ("ends mid tok", 1), ("Total –", 1),
-    ],
-)
-def test_truncation(spark, text, n_reasons):
-    assert len(evaluate(spark, A.truncation_reasons, text)[0]) == n_reasons
+def year_phrase(rng):
+    """A phrase and the years that it has as data points, by the kind of the phrase."""
+    year, kind = rng.randint(1900, 2100), rng.randrange(7)
+    other = rng.choice([rng.randint(1800, 1899), rng.randint(2101, 2199), rng.randint(1, 1799), rng.randint(2200, 99999)])
+    return [
+        (f"von {year} an", {year}), (f"{other} Stück", set()), (f"{year}{rng.choice(['', ' '])}{rng.choice(UNITS)} mehr", set()),
+        (f"{rng.choice([rng.choice(PROGRAMMES), rng.choice(PROGRAMMES).upper()])} {year}{rng.choice(['', '+'])} gilt", set()),
+        (f"{year}.{rng.randint(0, 9)} je", set()), (f"{rng.randint(1, 9)}'{year} oder {year}'000", set()), (f"({year}; {year}:", {year}),
+    ][kind]
+
+
+def test_years_covered(spark):
+    rng = random.Random(20)
+    made = [("", set())] + [(" und ".join(p[0] for p in phrases), set().union(*(p[1] for p in phrases))) for phrases in ([year_phrase(rng) for _ in range(rng.randint(1, 5))] for _ in range(300))]
+    for (text, years), got in zip(made, evaluate(spark, A.years_covered, *(m[0] for m in made))):
+        assert (got.years if got else []) == sorted(years), text
+        if got:
+            assert (got.min, got.max) == (min(years), max(years))
+
+
+def test_truncation(spark):
+    made = {None: 0, "": 0, "\t\n": 0}
+    for opening, middle, ending in product(["", "</row> ", "\n</x1>"], ["a <data>b</data> c", "a <data>b c", "a b</data> c", "<data><data>a</data> b", "plain"], [*":,=~-–", *">.!?%\"')]7", "x", "é", ";", "…"]):
+        for space in ("", " ", "\n"):
+            unclean = ending not in ">.!?%\"')]7"
+            made[opening + middle + ending + space] = bool(opening) + (middle.count("<data>") != middle.count("</data>")) + unclean
+    for (text, n), got in zip(made.items(), evaluate(spark, A.truncation_reasons, *made)):
+        assert len(got) == n, text
 
 
 def test_projection(spark):
@@ -106,15 +109,18 @@ def test_mention_count(spark, text, label, count):
     assert df.select(A.mention_count(F.col("t"), F.col("l"))).first()[0] == count
 
 
-@pytest.mark.parametrize(
-    "text,expected",
-    [
-        ("Leuchtfeuer", True), ("depth of the basin", True), ("12 407 Schiffe", False), ("7:30", False), ("-22%", False),
-        ("3% of Hafengeld", False), ("1997", False), ("aa", False), ("a b c d e f g h i", False), ("a b c d e f g h", True),
-    ],
-)
-def test_glossary_candidates(spark, text, expected):
-    assert evaluate(spark, A.is_glossary_candidate, text)[0] is expected
+def test_glossary_candidates(spark):
+    rng, want = random.Random(8), {}
+    for n in range(1, 12):  # by number of words
+        want[" ".join(rng.choices(["brake", "weg", "Übergang"], k=n))] = n <= 8
+    for n in range(1, 6):  # by length
+        want["q" * n] = n >= 3
+        want[" " + "q" * n + "  "] = n >= 3
+    for _ in range(60):  # numbers, alone or before a word, and behind one
+        number = "".join(rng.choices("0123456789", k=rng.randint(1, 5))) + "".join(rng.choices(" .,%+/:-–", k=rng.randint(0, 2)))
+        want |= {number + "1": False, "-" + number: False, f"{number}rails": False, f"rails {number}": True}
+    want |= {"...": False, "–/–": False}
+    assert dict(zip(want, evaluate(spark, A.is_glossary_candidate, *want))) == want
 
 
 def test_core_source_keeps_a_null_link_only(spark):

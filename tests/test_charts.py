@@ -1,13 +1,42 @@
 from __future__ import annotations
 
+import random
+
 from beleg.operators import charts as C
 
-RANGES = "Year,Harbour Traffic (kt),Span (kt) 1983,4-7,3-9 1986,4-7,3-9 1995,8-12,6-14 2007,31-37,30-40 2019,52-58,50-60"
-LABELLED = ("Year, Ferry Trips (thousand) 2003, 9 2008, 17 2016, 44 2017 (estimated), 51 Note: Every bar carries its number, as labeled on the "
-            "chart; the last one is a guess of the port.")
-DISCLOSED = ("Year,Number of Berths,Quay Length (km) 2011,40,6 2012,44,7 2013,51,8 2014,63,9 "
-             "Estimated Data Ranges: - Number of Berths 2011: 38 - 42")
-EYEBALLED = "Year,Crane_Lifts 1971,5 1972,6 1980,21 Note: These numbers were estimated based on visual interpretation."
+WORDS = ["Tonnage", "Fleet_size", "Loss (t)", "Hull age", "Crew", "Ölpreis", "Speed kn"]
+NOTES = {  # text -> whether it discloses an estimate without claiming exactness
+    "": False, "Note: drawn by hand.": False, "Source: harbour master": False, "Sources: two logs, both approximate": True, "Note: geschätzt": True,
+    "Estimated Data Ranges: none": True, "Note: estimated, but printed on the bars": False, "Source: a Schätzung of exact figures": False,
+}
+
+
+def made_cell(rng):
+    """(raw, value, min, max, kind)"""
+    a, b = rng.randint(0, 899), rng.randint(900, 999) / 10
+    return rng.choice([
+        (str(a), float(a), None, None, "exact"), (f"-{b}", -b, None, None, "exact"), (f"{a}'000", a * 1000.0, None, None, "exact"), (f"{a}{rng.choice(['-', ' – ', '—'])}{b}", None, float(a), b, "range"),
+        ("", None, None, None, "text"), ("-", None, None, None, "text"), (f"ca {a}", None, None, None, "text"), (f"{a}%", None, None, None, "text")])
+
+
+def made_chart(rng):
+    """The text of a block, and what is in it by construction."""
+    names = [rng.choice(WORDS) for _ in range(rng.randint(1, 5))]
+    columns = [n if names[:k].count(n) == 0 else f"{n} ({names[:k].count(n) + 1})" for k, n in enumerate(names)]
+    note, disclosed = rng.choice(list(NOTES.items()))
+    kinds, rows, spelled, years = rng.choice([("exact",), ("range",), ("exact", "range", "text"), ("exact", "text")]), [], [], set()
+    for _ in range(rng.randint(1, 6)):
+        year, remark = rng.randint(1850, 2060), rng.choice(["", "", "", " (plan)"])
+        cells = [c for c in (made_cell(rng) for _ in range(60)) if c[4] in kinds][:rng.randint(0, len(names) + 1)]
+        row = [(f"{year}{remark}", None, None, None, "text") if remark else (str(year), float(year), None, None, "exact"), *cells]
+        spelled.append(f"{year}{remark}," + ",".join(c[0] for c in cells))
+        row += [("", None, None, None, "text")] * (len(names) - len(row))
+        rows.append(row[:len(names)] if cells or len(names) > 1 else row[:1])
+        if not remark and year >= 1900:
+            years.add(year)
+    found = {c[4] for row in rows for c in row[1:]} - {"text"}
+    precision = "mixed" if len(found) != 1 else "estimated" if found == {"range"} or disclosed else "exact"
+    return ",".join(rng.choice(["", " "]) + n for n in names) + " " + " ".join(spelled) + (" " + note if note else ""), columns, rows, precision, sorted(years), note or None
 
 
 def parse(spark, *texts):
@@ -20,12 +49,15 @@ def block(text):
 
 
 def test_blocks_closed_and_open(spark):
-    texts = ["<data>first</data> filler <data>second</data>", "plain", "<data>Year,V 2001,1</data> mid <data>Year,V 2002,",
-             "<data>a</data> trailing", "x <data>  ", "<data>a <data>b"]
+    rng, texts, want = random.Random(6), [], []
+    for i in range(80):
+        closed = [rng.choice(["k", "two words", " 1,2\n3 ", "", " "]) for _ in range(rng.randint(0, 3))]
+        tail = rng.choice([None, None, "", " \n", "rest 1,", " open "])
+        texts.append("".join(rng.choice(["", "between ", "\n"]) + f"<data>{c}</data>" for c in closed) + rng.choice(["", " after"]) + ("" if tail is None else f"<data>{tail}"))
+        found = [(c.strip(), False) for c in closed] + ([(tail.strip(), True)] if tail and tail.strip() else [])
+        want += [(i, k, *f) for k, f in enumerate(found)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = [(r.i, r.block_pos, r.raw_block, r.is_truncated) for r in C.extract_blocks(df).orderBy("i", "block_pos").collect()]
-    assert got == [(0, 0, "first", False), (0, 1, "second", False), (2, 0, "Year,V 2001,1", False), (2, 1, "Year,V 2002,", True),
-                   (3, 0, "a", False), (5, 0, "b", True)]
+    assert [(r.i, r.block_pos, r.raw_block, r.is_truncated) for r in C.extract_blocks(df).orderBy("i", "block_pos").collect()] == want
 
 
 def test_titles(spark):
@@ -33,34 +65,29 @@ def test_titles(spark):
     assert [r.title for r in C.extract_title(df).collect()] == ["A", None, None]
 
 
-def test_range_columns_are_estimated(spark):
-    chart = parse(spark, block(RANGES))[0]
-    assert chart["columns"] == ["Year", "Harbour Traffic (kt)", "Span (kt)"]
-    assert (chart.row_count, chart.precision, chart.is_estimate, chart.note) == (5, "estimated", True, None)
-    cell = chart.rows[0][1]
-    assert (cell.raw, cell.value, cell.min, cell.max, cell.kind) == ("4-7", None, 4.0, 7.0, "range")
-    assert chart.years_covered.years == [1983, 1986, 1995, 2007, 2019]
-
-
-def test_labelled_values_stay_exact_and_prose_is_no_data(spark):
-    chart = parse(spark, block(LABELLED))[0]
-    assert (chart.precision, chart.row_count, chart.extraction_method) == ("exact", 4, "chart_label")
-    assert chart.rows[-1][0].raw == "2017 (estimated)" and chart.rows[-1][0].kind == "text" and chart.rows[-1][1].value == 51.0
-    assert chart.years_covered.years == [2003, 2008, 2016]
-    assert chart.note.startswith("Note: Every bar")
-
-
-def test_disclosed_estimates_downgrade(spark):
-    ranges, note = parse(spark, block(DISCLOSED), block(EYEBALLED))
-    assert ranges.precision == "estimated" and [r[0].raw for r in ranges.rows] == ["2011", "2012", "2013", "2014"]
-    assert ranges.rows[-1][1].value == 63.0
-    assert note.precision == "estimated" and note.extraction_method == "chart_visual_read"
+def test_charts_are_what_they_were_made_of(spark):
+    rng = random.Random(30)
+    made = [made_chart(rng) for _ in range(250)]
+    for (text, columns, rows, precision, years, note), chart in zip(made, parse(spark, *(block(m[0]) for m in made)), strict=True):
+        assert chart["columns"] == columns and chart.note == note, text
+        assert [[tuple(c) for c in r] for r in chart.rows] == rows, text
+        assert (chart.row_count, chart.precision, chart.is_estimate) == (len(rows), precision, precision != "exact"), text
+        assert (chart.years_covered.years if chart.years_covered else []) == years, text
 
 
 def test_severed_value_is_not_invented(spark):
-    chart = parse(spark, "<title>Tides</title> <data>Year,Height (cm) 2017,310 2018,295 2019,")[0]
-    assert chart.is_truncated and chart.title == "Tides"
-    assert [r[1].value for r in chart.rows] == [310.0, 295.0, None]
+    for k in range(1, 4):
+        text = "<title>Hull</title><data>Year,Crew,Age " + " ".join(f"{1960 + i},{i},{i + 1}" for i in range(k)) + " 1990,"
+        chart = parse(spark, text)[0]
+        assert chart.is_truncated and chart.title == "Hull" and chart.row_count == k + 1
+        assert [c.value for c in chart.rows[-1]] == [1990.0, None, None]
+
+
+def test_marks_of_other_tools_are_text(spark):
+    """A control character in a block starts no row."""
+    for mark in ("\u0001", "\u0002", "\u0002!", "\u0002?\u0001", "\u0001\u00021960"):
+        chart = parse(spark, block(f"Year,Crew 1960,4{mark}5 1961,6"))[0]
+        assert [[c.raw for c in r] for r in chart.rows] == [["1960", f"4{mark}5"], ["1961", "6"]]
 
 
 def test_repeated_columns_extra_cells_and_year_like_values(spark):
