@@ -12,7 +12,8 @@ from beleg.functions import markers as M
 from beleg.operators import annotate, charts, ranking, retrieval
 from beleg.operators.documents import chunk_documents
 from beleg.plans import search as plans
-from beleg.sources import hits as hit_sources
+from beleg.session import shared_dir
+from beleg.sources import hits as hit_sources, postings
 
 KEY = ("query_id", "rank")
 
@@ -283,6 +284,34 @@ def retrieve(d: Inputs) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str, str], postings.Postings] = {}
+
+
+def indexed(d: Inputs, passages: str) -> postings.Postings:
+    """The index of a passage table, written once per session and data folder as an index is written once per corpus."""
+    key = (d.spark.sparkContext.applicationId, d.folder, passages)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.write_postings(getattr(d, passages), shared_dir(d.spark, f"index-{passages}"))
+    return _INDEXES[key]
+
+
+@query("r1c_retrieve_indexed", sql(f"SELECT query_id, passage_id, rank, round(score, 6) AS score FROM ({bm25('questions', 'doc_passages')}) b"))
+def retrieve_indexed(d: Inputs) -> DataFrame:
+    found = postings.retrieve_indexed(d.questions, indexed(d, "doc_passages"))
+    return found.select("query_id", "passage_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("r1d_write_index", sql(r"""
+    SELECT token, count(*) AS df, cast(sum(tf) AS bigint) AS occurrences FROM (
+        SELECT passage_id, unnest(w) AS token, count(*) AS tf FROM (SELECT passage_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM doc_passages) x GROUP BY 1, 2) t
+    GROUP BY token"""))
+def write_index(d: Inputs) -> DataFrame:
+    """Writes an index anew and reads its words back: documents and occurrences of each."""
+    index = postings.write_postings(d.doc_passages, shared_dir(d.spark, "index"))
+    uses = index.postings.select("token", F.explode("postings").alias("p")).groupBy("token").agg(F.sum("p.tf").alias("occurrences"))
+    return index.words.join(uses, "token").select("token", "df", "occurrences")
+
+
 @query("r1b_vector_top_k", """
     WITH dims AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
     centres AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(cast(x AS double)) AS m FROM dims GROUP BY label, i) t GROUP BY label)
@@ -330,7 +359,7 @@ INTERNED_SQL = """SELECT *, 's' || dense_rank() OVER (PARTITION BY {scope} ORDER
 @query("r4_search", sql(f"SELECT query_id, pos, passage_id, round(score, 6) AS score, source_id, len({YEARS_SQL}) AS n_years FROM ({INTERNED_SQL.format(scope='query_id', rows='best_hits')}) x",
                         **core_ctes("questions", "doc_passages", 10)))
 def search(d: Inputs) -> DataFrame:
-    found = plans.search(d.questions, d.doc_passages).items
+    found = plans.search(d.questions, d.doc_passages, index=indexed(d, "doc_passages")).items
     years = F.coalesce(F.size("years_covered.years"), F.lit(0))
     return found.select("query_id", F.col("pos").cast("bigint").alias("pos"), "passage_id", F.round("score", 6).alias("score"), "source_id",
                         F.when(F.col("years_covered").isNull(), 0).otherwise(years).cast("bigint").alias("n_years"))
@@ -363,7 +392,7 @@ TIMELINE_QUERIES = """SELECT request_id || '|' || year AS query_id, request_id,
     GROUP BY request_id, trim(regexp_replace(text, '\\s+', ' ', 'g'))"""))
 def timeline(d: Inputs) -> DataFrame:
     requests = d.spark.sql(REQUESTS, region=d.region)
-    found = plans.timeline(requests, d.line_passages, detail="full").items
+    found = plans.timeline(requests, d.line_passages, detail="full", index=indexed(d, "line_passages")).items
     return found.select("request_id", F.col("pos").cast("bigint").alias("pos"), F.md5("text").alias("text_digest"), "score",
                         listed(F.col("queried_years")).alias("queried_years"), "source_id")
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beleg.functions.markers import RETRIEVAL_BREADTH
@@ -32,6 +32,18 @@ def corpus_statistics(passages: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def bm25_units(tf: Column, length: Column, df: Column, total: Column, mean: Column) -> Column:
+    """The weight of one word of a question in one passage, in whole millionths."""
+    idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
+    saturated = tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * length / mean))
+    return F.round(idf * saturated * _UNITS).cast("bigint")
+
+
+def scored_units(weights: DataFrame, *key: str) -> DataFrame:
+    """(key, score): the weights of a question's words summed."""
+    return weights.groupBy(*key).agg((F.sum("units") / _UNITS).alias("score"))
+
+
 def retrieve(
     queries: DataFrame, passages: DataFrame, breadth: int = RETRIEVAL_BREADTH, text: str = "text",
     corpus: DataFrame | None = None,
@@ -59,16 +71,8 @@ def retrieve(
     ).agg(F.count("*").alias("tf"))
     # Reading ``tf`` keeps this branch equal to the other one, so their exchange is shared.
     frequency = counted.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    weighted = terms.join(frequency, "token").withColumn(
-        "idf", F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    )
-    saturated = F.col("tf") * (_K1 + 1) / (F.col("tf") + _K1 * (1 - _B + _B * F.col("length") / mean))
-    scored = (
-        counted.join(weighted.drop("df"), "token")
-        .withColumn("units", F.round(F.col("idf") * saturated * _UNITS).cast("bigint"))
-        .groupBy("query_id", "passage_id")
-        .agg((F.sum("units") / _UNITS).alias("score"))
-    )
+    weights = counted.join(terms.join(frequency, "token"), "token").withColumn("units", bm25_units(F.col("tf"), F.col("length"), F.col("df"), total, mean))
+    scored = scored_units(weights, "query_id", "passage_id")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("passage_id").asc())
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= breadth)
 

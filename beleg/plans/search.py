@@ -21,6 +21,7 @@ from beleg.operators.charts import charts_from_passages
 from beleg.operators.ranking import dedupe, intern_sources, rank_hits, sources_of, top_per_scope, with_source_json
 from beleg.operators.retrieval import retrieve
 from beleg.sources.hits import source_record
+from beleg.sources.postings import Postings, retrieve_indexed
 
 
 class Answer(NamedTuple):
@@ -38,13 +39,16 @@ def _check_range(name: str, value: int, low: int, high: int) -> None:
 
 def ranked_passages(
     queries: DataFrame, passages: DataFrame, limit: int, hits: DataFrame | None = None, corpus: DataFrame | None = None,
+    index: Postings | None = None,
 ) -> DataFrame:
     """Retrieve, rank, collapse copies, cut: query_id, pos, passage_id, score, text, title, ...
 
     The limit applies after the copies are collapsed, so a copy never takes a slot. Text is
-    fetched for the retrieved rows only, in one pass over the passages.
+    fetched for the retrieved rows only, in one pass over the passages. With a stored index of the passages only
+    the postings of asked words are read to retrieve them.
     """
-    hits = retrieve(queries, passages, RETRIEVAL_BREADTH, corpus=corpus) if hits is None else hits
+    if hits is None:
+        hits = retrieve(queries, passages, RETRIEVAL_BREADTH, corpus=corpus) if index is None else retrieve_indexed(queries, index)
     ranked = rank_hits(hits.join(passages, "passage_id"))
     return top_per_scope(dedupe(ranked), limit)
 
@@ -68,11 +72,11 @@ def counted_for(asked: DataFrame, items: DataFrame, key: str, name: str) -> Data
 
 def search(
     queries: DataFrame, passages: DataFrame, publications: DataFrame | None = None, max_results: int = 10,
-    source_fields: str = "core", hits: DataFrame | None = None, corpus: DataFrame | None = None,
+    source_fields: str = "core", hits: DataFrame | None = None, corpus: DataFrame | None = None, index: Postings | None = None,
 ) -> Answer:
     """Best annotated passages per question with interned sources."""
     _check_range("max_results", max_results, 1, 25)
-    best = ranked_passages(queries, passages, max_results, hits, corpus)
+    best = ranked_passages(queries, passages, max_results, hits, corpus, index)
     items = intern_sources(_with_source(annotate_passages(best), publications, source_fields))
     return Answer(items, sources_of(items), counted_for(queries, items, "query_id", "result_count"))
 
@@ -91,12 +95,12 @@ def timeline_queries(requests: DataFrame) -> DataFrame:
 
 def timeline(
     requests: DataFrame, passages: DataFrame, publications: DataFrame | None = None, max_results_per_year: int = 3,
-    detail: str = "index", source_fields: str = "core", corpus: DataFrame | None = None,
+    detail: str = "index", source_fields: str = "core", corpus: DataFrame | None = None, index: Postings | None = None,
 ) -> Answer:
     """Passages per year of a metric; equal texts of several years become one entry."""
     _check_range("max_results_per_year", max_results_per_year, 1, 25)
     queries = timeline_queries(requests)
-    found = ranked_passages(queries.select("query_id", "question"), passages, max_results_per_year, corpus=corpus)
+    found = ranked_passages(queries.select("query_id", "question"), passages, max_results_per_year, corpus=corpus, index=index)
     placed = found.join(queries.select("query_id", "request_id", "start_year", F.col("year").alias("queried_year")), "query_id")
     placed = placed.withColumn("pos", (F.col("queried_year") - F.col("start_year")) * max_results_per_year + F.col("pos"))
     merged = dedupe(placed.drop("query_id", "start_year"), "request_id", queried_year="queried_year")
@@ -120,10 +124,11 @@ def probe_queries(topics: DataFrame, templates: Sequence[str] = PROBE_TEMPLATES)
 
 def probe_pool(
     topics: DataFrame, passages: DataFrame, templates: Sequence[str] = PROBE_TEMPLATES, corpus: DataFrame | None = None,
+    index: Postings | None = None,
 ) -> DataFrame:
     """Passages of all probes of a topic, copies collapsed: topic_id, pos, score, text, ..."""
     queries = probe_queries(topics, templates)
-    found = ranked_passages(queries.select("query_id", "question"), passages, PROBE_RESULTS, corpus=corpus)
+    found = ranked_passages(queries.select("query_id", "question"), passages, PROBE_RESULTS, corpus=corpus, index=index)
     placed = found.join(queries.select("query_id", "topic_id", "probe"), "query_id").withColumn(
         "pos", F.col("probe") * PROBE_RESULTS + F.col("pos")
     )
@@ -146,10 +151,10 @@ def rank_charts(charts: DataFrame) -> DataFrame:
 
 def get_charts(
     topics: DataFrame, passages: DataFrame, publications: DataFrame | None = None, max_charts: int = 5,
-    source_fields: str = "core", templates: Sequence[str] = PROBE_TEMPLATES, corpus: DataFrame | None = None,
+    source_fields: str = "core", templates: Sequence[str] = PROBE_TEMPLATES, corpus: DataFrame | None = None, index: Postings | None = None,
 ) -> Answer:
     """Number series about a topic with interned sources."""
     _check_range("max_charts", max_charts, 1, 15)
-    charts = best_charts(probe_pool(topics, passages, templates, corpus), max_charts).drop("text")
+    charts = best_charts(probe_pool(topics, passages, templates, corpus, index), max_charts).drop("text")
     items = intern_sources(_with_source(charts, publications, source_fields, "document"), "topic_id")
     return Answer(items, sources_of(items, "topic_id"), counted_for(topics, items, "topic_id", "chart_count"))
