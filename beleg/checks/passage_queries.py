@@ -308,7 +308,7 @@ def retrieve_indexed(d: Inputs) -> DataFrame:
 def write_index(d: Inputs) -> DataFrame:
     """Writes an index anew and reads its words back: documents and occurrences of each."""
     index = postings.write_postings(d.doc_passages, shared_dir(d.spark, "index"))
-    uses = index.postings.select("token", F.explode("postings").alias("p")).groupBy("token").agg(F.sum("p.tf").alias("occurrences"))
+    uses = index.postings.select("token", F.explode("tfs").alias("tf")).groupBy("token").agg(F.sum("tf").alias("occurrences"))
     return index.words.join(uses, "token").select("token", "df", "occurrences")
 
 

@@ -17,7 +17,7 @@ from beleg.functions.markers import RETRIEVAL_BREADTH
 from beleg.functions.text import tokens
 
 _K1, _B = 1.2, 0.75
-_UNITS = 1_000_000  # scores are summed as whole millionths: exact, whatever the partitioning
+UNITS = 1_000_000  # scores are summed as whole millionths: exact, whatever the partitioning
 
 
 def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
@@ -36,12 +36,7 @@ def bm25_units(tf: Column, length: Column, df: Column, total: Column, mean: Colu
     """The weight of one word of a question in one passage, in whole millionths."""
     idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
     saturated = tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * length / mean))
-    return F.round(idf * saturated * _UNITS).cast("bigint")
-
-
-def scored_units(weights: DataFrame, *key: str) -> DataFrame:
-    """(key, score): the weights of a question's words summed."""
-    return weights.groupBy(*key).agg((F.sum("units") / _UNITS).alias("score"))
+    return F.round(idf * saturated * UNITS).cast("bigint")
 
 
 def retrieve(
@@ -72,7 +67,7 @@ def retrieve(
     # Reading ``tf`` keeps this branch equal to the other one, so their exchange is shared.
     frequency = counted.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weights = counted.join(terms.join(frequency, "token"), "token").withColumn("units", bm25_units(F.col("tf"), F.col("length"), F.col("df"), total, mean))
-    scored = scored_units(weights, "query_id", "passage_id")
+    scored = weights.groupBy("query_id", "passage_id").agg((F.sum("units") / UNITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("passage_id").asc())
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= breadth)
 
