@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from beleg.operators.documents import latest_by_id, pending_extractions, pending_objects
 from beleg.sources.objects import attach_sidecar, ingest_text, list_objects, objects_from_listing, read_bodies, read_sidecars, text_objects
 from beleg.sources.records import DOCUMENT_SCHEMA, EXTRACTION_SCHEMA, append_log, read_log
-from beleg.streaming.jobs import committed, run_available, write_version
+from beleg.streaming.buckets import BUCKETS, State, buckets_of, read_buckets, state_of, upsert
+from beleg.streaming.jobs import run_available
 
 _DOCUMENT_COLUMNS = ("doc_id", "source_uri", "content_type", "size_bytes", "text", "text_truncated", "properties", "etag")
 
@@ -58,25 +59,50 @@ def ingest_pending(spark: SparkSession, source_root: str, docs_path: str, prefix
     append_log(docs.select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", next_sequence(log)), docs_path)
 
 
+KNOWN_SCHEMA = "source_uri string, etag string, ingest_seq bigint"
+
+
+def known_path(docs_path: str) -> str:
+    """Where the etags of a log's documents are kept, by uri."""
+    return f"{docs_path.rstrip('/')}.known"
+
+
+def _known_state(spark: SparkSession, docs_path: str, buckets: int) -> State:
+    """The state beside the log; made of the log's etags where there is none yet."""
+    state = state_of(spark, known_path(docs_path))
+    if state.version is not None:
+        return state
+    log = records_or_empty(spark, docs_path, DOCUMENT_SCHEMA).select("source_uri", "etag", "ingest_seq")
+    return upsert(known_path(docs_path), KNOWN_SCHEMA, log, "log", 0, "source_uri", buckets=buckets)
+
+
 def incremental_ingest(
-    objects: DataFrame, docs_path: str, checkpoint: str, root: str = "", on_document: Hook | None = None
+    objects: DataFrame, docs_path: str, checkpoint: str, root: str = "", on_document: Hook | None = None, buckets: int = BUCKETS,
 ) -> None:
     """A stream of objects with content: each micro-batch appends its pending documents.
 
+    What is done is known from a small table of etags in buckets by uri (``known_path``): a micro-batch reads the buckets of its
+    own objects and rewrites those of what it appended; the log itself is read only where that table is missing.
+
     A batch that is replayed after a failure finds its objects done, or appends equal records;
     both replay to the same state. A side-car counts for the documents of its own batch. Objects that hold no text
     (see ``text_objects``) are left to the caller's extractor. ``on_document`` sees every batch of saved records.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        log = records_or_empty(spark, docs_path, DOCUMENT_SCHEMA)
-        known = latest_by_id(log.select("doc_id", "source_uri", "etag", "ingest_seq"))
+        state = _known_state(spark, docs_path, buckets)
         newest = batch.groupBy("key").agg(F.max_by(F.struct("*"), F.struct("last_modified", "etag")).alias("o")).select("o.*")
         listed = objects_from_listing(newest)
+        asked = buckets_of(listed.select(F.concat(F.lit(root), F.col("key")).alias("uri")), "uri", state.buckets or buckets)
+        known = read_buckets(spark, known_path(docs_path), KNOWN_SCHEMA, asked, state)
         pending = text_objects(pending_objects(listed, known, root)).join(newest.select("key", "content"), "key")
-        seq = next_sequence(log)
-        docs = attach_sidecar(ingest_text(pending, root), newest.select("key", "content"))
-        append_log(docs.select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", seq), docs_path)
+        seq = F.lit(0 if state.top is None else state.top + 1).cast("bigint")
+        docs = attach_sidecar(ingest_text(pending, root), newest.select("key", "content")).persist()
+        try:
+            append_log(docs.select(*_DOCUMENT_COLUMNS).withColumn("ingest_seq", seq), docs_path)
+            upsert(known_path(docs_path), KNOWN_SCHEMA, docs.select("source_uri", "etag").withColumn("ingest_seq", seq), checkpoint, batch_id, "source_uri", buckets=buckets)
+        finally:
+            docs.unpersist()
         if on_document is not None:
             on_document(_saved(spark, docs_path, DOCUMENT_SCHEMA, seq), batch_id)
 
@@ -100,24 +126,15 @@ def incremental_extract(
     run_available(docs, save, checkpoint)
 
 
-def upsert_latest(records: DataFrame, table_path: str, checkpoint: str, schema: str) -> None:
+def upsert_latest(records: DataFrame, table_path: str, checkpoint: str, schema: str, buckets: int = BUCKETS) -> None:
     """A stream of records to a table of the latest record per id, one version per batch.
 
-    Versions are written beside each other, so no reader ever sees a half-replaced table. Each starts from the last
-    finished one, also under a new checkpoint. ``latest_version`` reads the newest.
+    Records are hashed to buckets and a batch rewrites only the buckets it touches (see ``buckets.upsert``). Each version starts
+    from the last finished one, also under a new checkpoint. ``latest_version`` reads the newest.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        def merged(last: int | None) -> DataFrame:
-            spark = batch.sparkSession
-            current = spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{table_path}/version={last}")
-            return latest_by_id(current.unionByName(batch.select(*current.columns)))
-
-        write_version(table_path, checkpoint, batch, batch_id, merged)
-
-    run_available(records, merge, checkpoint)
+    run_available(records, lambda batch, batch_id: upsert(table_path, schema, batch, checkpoint, batch_id, buckets=buckets), checkpoint)
 
 
 def latest_version(spark: SparkSession, table_path: str, schema: str) -> DataFrame:
     """The newest finished table of ``upsert_latest``."""
-    last = committed(spark, table_path).agg(F.max("version")).first()[0]
-    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{table_path}/version={last}")
+    return read_buckets(spark, table_path, schema)
