@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from beleg.operators.documents import latest_by_id
 
-BUCKETS = 64
+BUCKETS = 16
 _COMMITS = "version int, checkpoint string, batch_id long, top long, buckets int"
 _LIVE = "bucket int, version int"
 
