@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,8 @@ from beleg.llm.tables import cut_lineage
 WINDOW = 1024
 END_ID = 0
 GROUP_TOKENS = 1 << 22
-CACHED_WORDS = 1 << 18
-CACHED_LENGTH = 64  # longer words are encoded whenever they come
+CACHED_WORDS = 1 << 19  # a worker forgets all words once it has more, or more characters of them
+CACHED_CHARS = 1 << 24
 BATCH_CHARS = 1 << 20
 BATCH_BYTES = 1 << 22  # of ids that leave a task at a time
 
@@ -75,67 +76,82 @@ def lines_of(text: str) -> list[tuple[str, list[str]]]:
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit numbers; remembers the ids of short words."""
+    """Texts to ids as little-endian unsigned 32-bit numbers; remembers the ids of words by number until they are too many."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}  # of a word after a space
-        self.heads: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # words of the last time that there were too many
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.forget()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def forget(self) -> None:
+        number = count().__next__
+        self.words: defaultdict[str, int] = defaultdict(number)  # words after a space
+        self.heads: defaultdict[str, int] = defaultdict(number)
+        self.chars = 0
+        self.sizes, self.ids, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 17, dtype="<u4"), 0
+        self.begins = np.zeros_like(self.sizes)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        return [np.array(x.ids, dtype="<u4") for x in found]
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
-        """Many words are one text; only their first ids begin with a space."""
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, sizes): many words are one text; only their first ids begin with a space."""
         for at in range(0, len(words), 200):
             some = words[at:at + 200]
             ids = self._encode([" " + " ".join(some)])[0]
-            starts = np.flatnonzero(self.spaced[np.frombuffer(ids, dtype="<u4")]) * 4
-            if len(starts) != len(some):
-                yield from self._encode([" " + w for w in some])
-                continue
-            cuts = [*starts.tolist(), len(ids)]
-            yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(some):
+                yield ids, np.diff(starts, append=len(ids))
+            else:
+                found = self._encode([" " + w for w in some])
+                yield np.concatenate(found), np.array([len(x) for x in found])
+
+    def _learn(self, numbers: list[int], parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Keep the ids of new words, whose numbers are given in the same order."""
+        at = 0
+        for ids, sizes in parts:
+            mine = np.array(numbers[at:at + len(sizes)])
+            at += len(sizes)
+            if mine.max() >= len(self.sizes):
+                self.sizes, self.begins = (np.concatenate([x, np.zeros(max(len(x), int(mine.max())), dtype=x.dtype)]) for x in (self.sizes, self.begins))
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), dtype="<u4")])
+            self.sizes[mine], self.begins[mine] = sizes, self.used + np.cumsum(sizes) - sizes
+            self.ids[self.used:self.used + len(ids)] = ids
+            self.used += len(ids)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
-            split, size, words, heads = [], 0, set(), set()
-            while at < len(texts) and (not split or size < BATCH_CHARS):
+            if len(self.words) + len(self.heads) > CACHED_WORDS or self.chars > CACHED_CHARS:
+                self.forget()
+            n_words, n_heads, size, numbers, ends = len(self.words), len(self.heads), 0, [], []
+            word, head = self.words.__getitem__, self.heads.__getitem__  # what is new gets the next number
+            while at < len(texts) and (not ends or size < BATCH_CHARS):
+                for first, rest in lines_of(texts[at]) if texts[at] else ():
+                    numbers.append(head(first))
+                    numbers.extend(map(word, rest))
                 size += len(texts[at] or "")
-                split.append(lines_of(texts[at]) if texts[at] else [])
-                for head, rest in split[-1]:
-                    heads.add(head)
-                    words.update(rest)
+                ends.append(len(numbers))
                 at += 1
-            if len(self.words) > CACHED_WORDS:
-                self.words, self.older = {}, self.words
-            if len(self.heads) > CACHED_WORDS:
-                self.heads.clear()
-            words -= self.words.keys()
-            again = words & self.older.keys()
-            self.words.update((w, self.older[w]) for w in again)
-            new_words, new_heads = list(words - again), list(heads - self.heads.keys())
-            self.words.update(zip(new_words, self._encode_words(new_words)))
-            self.heads.update(zip(new_heads, self._encode(new_heads) if new_heads else ()))
-            word, head = self.words.__getitem__, self.heads.__getitem__
-            for lines in split:
-                out = []
-                for first, rest in lines:
-                    out.append(head(first))
-                    out.extend(map(word, rest))
-                yield b"".join(out)
-            for known, new in ((self.words, new_words), (self.heads, new_heads)):
-                for w in new:
-                    if len(w) > CACHED_LENGTH:
-                        del known[w]
+            for known, before in ((self.words, n_words), (self.heads, n_heads)):
+                new = list(islice(reversed(known.items()), len(known) - before))
+                if new:
+                    self.chars += sum(len(w) for w, _ in new)
+                    spelled = [w for w, _ in new]
+                    found = self._encode_words(spelled) if known is self.words else ((x, np.array([len(x)])) for x in self._encode(spelled))
+                    self._learn([k for _, k in new], found)
+            used = np.array(numbers, dtype=np.int64)
+            sizes = self.sizes[used]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            ids = self.ids[np.repeat(self.begins[used] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+            cuts = [0, *(4 * upto[ends]).tolist()]
+            yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
 
 
 @cache

@@ -35,13 +35,14 @@ def test_words_encode_like_the_whole_text(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_cache_is_emptied_and_long_words_are_not_kept(monkeypatch, tokenizer):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+@pytest.mark.parametrize("words,chars", [(5, 1 << 20), (1 << 20, 40), (1 << 20, 1 << 20)])
+def test_words_are_forgotten(monkeypatch, tokenizer, words, chars):
+    monkeypatch.setattr(packing, "CACHED_WORDS", words)
+    monkeypatch.setattr(packing, "CACHED_CHARS", chars)
     monkeypatch.setattr(packing, "BATCH_CHARS", 10)
     encoder = packing.Encoder(packing.default_tokenizer())
-    texts = TEXTS * 2
-    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert encoder.words and all(len(w) <= packing.CACHED_LENGTH for w in [*encoder.words, *encoder.heads])
+    texts = [*TEXTS, None, " ".join(f"w{i}" for i in range(70_000)), " ".join("x" * i for i in range(1, 300))] * 2
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(texts)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def plain_best_fit(lengths, window):
