@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from beleg.llm import conversations, decontaminate, language, licenses, lines, merkle, mix, ordermin, packing, personal, simhash, sitestyle, urls
+from beleg.llm import conversations, decontaminate, language, licenses, lines, merkle, mix, oracles, ordermin, packing, personal, simhash, sitestyle, urls
 from beleg.llm.tables import read_table
 from beleg.session import configure
 
@@ -104,11 +104,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.judge(read_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op11_merkle_manifest"] = oracles.MERKLE
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.judge(read_table(spark, sf_dir, "conversations"))
 
 
+ORACLES["op12_conversation_repair"] = oracles.CONVERSATIONS
+
+
 @query
 def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.judge(read_table(spark, sf_dir, "documents"))
