@@ -245,7 +245,9 @@ def line_components(docs: DataFrame, table: DataFrame, limit: float = SIMILARITY
         needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         fetched.append(cut_lineage(_texts_of(docs, needed, filter_bits), "texts"))
         left, right = (fetched[0].select(F.col("id").alias(n), F.col("line").alias(t)) for n, t in (("a", "left"), ("b", "right")))
-        return map_rows(pairs.join(left, "a").join(right, "b"), "a long, b long", _similar(limit), "a", "b", "left", "right")
+        # Least lines meet many others: sorted by them, their features are taken once.
+        met = pairs.join(right, "b").join(left, "a")
+        return map_rows(met, "a long, b long", _similar(limit), "a", "b", "left", "right")
 
     def verify_rest(rest: DataFrame) -> DataFrame:
         # All ids of a larger bucket were in a pair before, so their texts are at hand.
