@@ -169,47 +169,40 @@ def _similar(limit: float):
 
 
 def _forest(ids: list[int], components: list[int], lines: list[str], limit: float) -> list[tuple[int, int]]:
-    """Links that join what is similar among the lines, as a spanning forest over their components."""
-    root = {c: c for c in components}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
-        return x
-
+    """Links that join what is similar among the lines, as a spanning forest over their components.
+
+    Only lines of different components are compared, and of those only lines whose numbers of shingles allow the limit.
+    """
+    number = {c: k for k, c in enumerate(dict.fromkeys(components))}
+    root = np.array([number[c] for c in components])
+    if len(number) < 2:
+        return []
     sets = [_features(line) for line in lines]
-    links = []
-
-    def join(k: int, other: int) -> None:
-        x, y = find(components[k]), find(components[other])
-        if x != y:
-            root[x] = y
-            links.append((ids[k], ids[other]))
-
-    if len(sets) <= SMALL_GROUP:
-        for k, x in enumerate(sets):
-            for other in range(k + 1, len(sets)):
-                if find(components[k]) != find(components[other]):
-                    y = sets[other]
-                    common = len(x & y)
-                    if common >= limit * (len(x) + len(y) - common):
-                        join(k, other)
-        return links
-    # Only shingles of several lines can be common; they are the columns of a bit matrix.
-    seen: dict[str, int] = {}
-    for features in sets:
-        for f in features:
-            seen[f] = seen.get(f, 0) + 1
-    columns = {f: k for k, f in enumerate(f for f, n in seen.items() if n > 1)}
-    bits = np.zeros((len(sets), -(-max(1, len(columns)) // 64)), dtype=np.uint64)
-    for row, features in zip(bits, sets):
-        at = np.array([columns[f] for f in features if f in columns], dtype=np.int64)
-        np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     sizes = np.array([len(x) for x in sets])
+    small, bits = len(sets) <= SMALL_GROUP, None
+    if not small:
+        # Only shingles of several lines can be common; they are the columns of a bit matrix.
+        seen: dict[str, int] = {}
+        for features in sets:
+            for f in features:
+                seen[f] = seen.get(f, 0) + 1
+        columns = {f: k for k, f in enumerate(f for f, n in seen.items() if n > 1)}
+        bits = np.zeros((len(sets), -(-max(1, len(columns)) // 64)), dtype=np.uint64)
+        for row, features in zip(bits, sets):
+            at = np.array([columns[f] for f in features if f in columns], dtype=np.int64)
+            np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    links = []
     for k in range(len(sets)):
-        common = np.bitwise_count(bits[k + 1:] & bits[k]).sum(axis=1, dtype=np.int64)
-        for other in np.flatnonzero(common >= limit * (sizes[k + 1:] + sizes[k] - common)) + k + 1:
-            join(k, int(other))
+        least, most = np.minimum(sizes[k + 1:], sizes[k]), np.maximum(sizes[k + 1:], sizes[k])
+        others = np.flatnonzero((root[k + 1:] != root[k]) & (least >= limit * most)) + k + 1
+        if small:
+            common = np.array([len(sets[k] & sets[other]) for other in others], dtype=np.int64)
+        else:
+            common = np.bitwise_count(bits[others] & bits[k]).sum(axis=1, dtype=np.int64)
+        for other in others[common >= limit * (sizes[others] + sizes[k] - common)]:
+            if root[other] != root[k]:
+                root[root == root[other]] = root[k]
+                links.append((ids[k], ids[other]))
     return links
 
 
