@@ -276,9 +276,11 @@ def dedupe_lines(docs: DataFrame, limit: float = SIMILARITY, filter_bits: int =
     none, lines = F.array().cast("array<int>"), F.split("text", "\n", -1)
     # All lines of a further copy are copies.
     stay = F.when(F.col("copy") == 1, F.coalesce("keep", none)).otherwise(none)
-    text = F.when(F.size(stay) == F.size(lines), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    text = F.when(F.col("text").isNotNull(), text)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.coalesce("n_blank", F.lit(0)))
+    # The text is cut once, as the one element of an array, and lines are picked from that; inside the inner function it would be cut for each line.
+    picked = F.transform(F.array(lines), lambda cut: F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))
+    n_all = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    text = F.when(F.col("text").isNotNull(), F.when(F.size(stay) == n_all, F.col("text")).otherwise(F.get(picked, F.lit(0))))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_all - F.coalesce("n_blank", F.lit(0)))
     n_stay = F.greatest(F.size(stay) - F.coalesce("n_blank", F.lit(0)), F.lit(0))
     columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     if counts is None:
