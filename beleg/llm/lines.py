@@ -12,7 +12,8 @@ scan, in which a bitmap of fixed size (``filter_bits``) tells which lines may be
 bitmap costs time, never a line.
 
 Defined results: blank lines are no lines; they stay. A null text stays null. A document that loses all its lines to others
-goes. Rows equal in doc_id and text are copies of each other: the first keeps the lines, the others go. Null doc_ids come last. An empty
+goes. Rows equal in doc_id and text are copies of each other: the first by the
+hash of all columns keeps the lines, the others go. Null doc_ids come last. An empty
 table gives an empty result. Other columns are passed through, whatever their names.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beleg.llm.components import block_pairs, bucket_components
-from beleg.llm.tables import cut_lineage, map_rows, row_key
+from beleg.llm.tables import content_hash, cut_lineage, map_rows, row_key
 
 SHINGLE = 8
 ROWS = 4
@@ -271,8 +272,8 @@ def dedupe_lines(docs: DataFrame, limit: float = SIMILARITY, filter_bits: int =
     """docs with the lines that stay; documents that lose all lines go, unless ``counts`` names columns for the number of
     lines and of removed lines: then every document is returned."""
     kept = kept_lines(docs, limit, filter_bits)
-    keyed = docs.select(F.struct("*").alias("row"), "text", *row_key("doc_id", "text")).join(kept, ["k1", "k2"], "left")
-    out = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k2")))
+    keyed = docs.select(F.struct("*").alias("row"), "text", content_hash(docs).alias("order"), *row_key("doc_id", "text")).join(kept, ["k1", "k2"], "left")
+    out = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("order")))
     none, lines = F.array().cast("array<int>"), F.split("text", "\n", -1)
     # All lines of a further copy are copies.
     stay = F.when(F.col("copy") == 1, F.coalesce("keep", none)).otherwise(none)

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from beleg.session import cut_lineage
 
-__all__ = ["cut_lineage", "map_rows", "read_table", "row_key", "spare_name"]
+__all__ = ["content_hash", "cut_lineage", "map_rows", "read_table", "row_key", "spare_name"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(F.lit("a"), *columns).alias("k1"), F.xxhash64(*columns[::-1], F.lit("b")).alias("k2")
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns: an order of rows with equal keys that doesn't depend on how they are partitioned."""
+    unhashable = ("map<", "variant")
+    columns = [F.col(f"`{name}`") for name, _ in df.dtypes]
+    return F.xxhash64(*(F.to_json(F.struct(c)) if any(u in kind for u in unhashable) else c for c, (_, kind) in zip(columns, df.dtypes)))
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[..., Iterator[dict[str, list]]], *columns: str) -> DataFrame:
     """Arrow batches through a function that gets the named columns as lists and yields dicts of lists.
 

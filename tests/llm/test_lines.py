@@ -98,3 +98,21 @@ def test_a_large_group_of_near_copies(spark):
     got = {r["doc_id"] for r in lines.dedupe_lines(documents(spark, rows)).collect()}
     want = {i for i, t in slow(rows).items() if t}
     assert got == want
+
+
+def test_rows_that_differ_in_another_column(spark):
+    """Whichever way rows are dealt, the same of those equal in doc_id and text keeps the lines."""
+    rows = [(1, "a line of words\nand one more", lang, "s", 9) for lang in ("en", "de", "fr")]
+    kept = set()
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        kept |= {tuple(r) for parts in (1, 3) for r in lines.dedupe_lines(docs.repartition(parts)).collect()}
+    assert len(kept) == 1
+
+
+def test_a_text_of_many_lines(spark):
+    """A long text that loses some of its lines is cut once, not once for each line that stays."""
+    own = [f"number {i} of the lines, {i * 7919 % 10007} {i * 104729 % 99991}" for i in range(20_000)]
+    text = "\n".join(own[:10_000] + ["", own[5].upper()] + own[10_000:])
+    got = [r["text"] for r in lines.dedupe_lines(documents(spark, [(1, text)]), limit=0.999).collect()]
+    assert got == ["\n".join(own[:10_000] + [""] + own[10_000:])]
