@@ -47,12 +47,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def crossing_pairs(rest: DataFrame, on: list[str]) -> DataFrame:
-    """(a, b): ids that share a key but no component."""
-    other = rest.select(*on, F.col("id").alias("id2"), F.col("component").alias("component2"))
-    return rest.join(other, on).filter("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-
-
 def block_pairs(rest: DataFrame, block_size: int, weight: Column) -> DataFrame:
     """rest (key, id, ...) dealt to pairs of blocks: in each (key, i, j) lie the rows of blocks i and j of that key.
 

@@ -4,7 +4,7 @@ import pandas as pd
 from helpers import union_find
 from pyspark.sql import functions as F
 
-from beleg.llm.components import block_pairs, bucket_components, components, crossing_pairs
+from beleg.llm.components import block_pairs, bucket_components, components
 
 
 def test_components_equal_union_find(spark):
@@ -28,7 +28,8 @@ def test_buckets_lose_no_component(spark):
         return pairs.filter(F.abs(F.col("a") - F.col("b")) <= 4)
 
     def by_pairs(rest):
-        return near(crossing_pairs(rest, ["key"]))
+        other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("component2"))
+        return near(rest.withColumnRenamed("id", "a").join(other, "key").filter("component < component2").select("a", "b"))
 
     def by_blocks(rest):
         def links(block):

@@ -64,6 +64,30 @@ def test_chain_of_fingerprints_in_one_bucket(spark):
     assert found == union_find({x for p in links for x in p}, links)
 
 
+def test_equal_halves_are_no_pairs(spark, monkeypatch):
+    """1,000 fingerprints that share their low half: every link is found, in blocks of 64, and few rows are returned."""
+    draw, returned = random.Random(4), []
+    marks = {draw.getrandbits(20) << 40 for _ in range(1000)}
+    marks |= {m ^ (1 << draw.randrange(32, 63)) for m in draw.sample(sorted(marks), 40)}
+    whole = simhash._verify_rest
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(simhash, "_verify_rest", lambda rest: returned.append(whole(rest)) or returned[-1])
+    found = {r["id"]: r["component"] for r in simhash.link_fingerprints(spark.createDataFrame([(m,) for m in marks], "fp long")).collect()}
+    links = [(a, b) for a in marks for b in marks if a < b and (a ^ b).bit_count() <= 2]
+    assert found == union_find({x for p in links for x in p}, links)
+    assert len(links) >= 40 and returned[0].count() < 10_000
+
+
+def test_rows_that_differ_in_another_column(spark):
+    """Whichever way rows are dealt, the same of those equal in doc_id and text stays."""
+    rows = [(1, "a b c d e", lang, "s", 9) for lang in ("en", "de", "fr")]
+    kept = set()
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        kept |= {tuple(r) for parts in (1, 3) for r in simhash.keep_one(docs.repartition(parts)).collect()}
+    assert len(kept) == 1
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (3, "a b c d e"), (9, "quite another text of words"), (None, None), (8, None)]
     docs = documents(spark, rows).selectExpr("*", "1 as k1", "'x' as fp", "'y' as row", "2 as component")
