@@ -133,7 +133,10 @@ def _verify_rest(rest: DataFrame) -> DataFrame:
 
 def link_fingerprints(marked: DataFrame) -> DataFrame:
     """(id, component) of distinct fingerprints fp that are linked to another one."""
-    members = marked.select(F.col("fp").alias("id")).distinct().select(F.explode(segment_keys(F.col("id"))).alias("key"), "id")
+    # Few bytes of fingerprints become 66 times as many rows: they are dealt out before, not gathered in few tasks.
+    tasks = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = marked.select(F.col("fp").alias("id")).distinct().repartition(tasks, "id")
+    members = distinct.select(F.explode(segment_keys(F.col("id"))).alias("key"), "id")
     return bucket_components(members, _verify, _verify_rest)
 
 
