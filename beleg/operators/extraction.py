@@ -49,23 +49,34 @@ def _finish(found: DataFrame, docs: DataFrame, model: str) -> DataFrame:
     )
 
 
+def _anchored(keyed: DataFrame) -> DataFrame:
+    """(label, words, anchor, at): each label with its word that the fewest labels hold (of equal ones the longest), and its place."""
+    held = keyed.dropDuplicates(["words"]).select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("held"))
+    each = keyed.dropDuplicates(["words"]).select("words", F.posexplode("words").alias("at", "word")).join(held, "word")
+    chosen = each.groupBy("words").agg(F.min(F.struct("held", (-F.length("word")).alias("shorter"), "at", "word")).alias("best"))
+    return keyed.join(chosen, "words").select("label", "words", F.col("best.word").alias("anchor"), F.col("best.at").alias("at"))
+
+
 def gazetteer_mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, position, label): where known labels occur, by equi-join on word n-grams.
+    """(doc_id, position, label): where known labels occur, by equi-join on one rare word of each label.
 
-    The text is cut into the n-gram lengths the labels have, once, and joined on the n-gram:
-    cost grows with the text, not with text times labels.
+    Every word of a text is one row with the words around it that the longest label could reach; where it is the anchor of a
+    label, the label is compared in place. No n-grams are written, and a word that many labels share is the anchor of those
+    only that have no other.
     """
-    keyed = labels.select("label", tokens(F.col("label")).alias("_t")).filter(F.size("_t") > 0).select(
-        "label", F.array_join("_t", " ").alias("gram"), F.size("_t").alias("n")
-    )
-    longest = keyed.agg(F.max("n")).first()[0] or 1
-    words = docs.select("doc_id", tokens(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
-    grams = words.select("doc_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_t")))).alias("n"), "_t").select(
-        "doc_id", F.posexplode_outer(F.transform(
-            F.sequence(F.lit(1), F.size("_t") - F.col("n") + 1), lambda i: F.array_join(F.slice("_t", i, F.col("n")), " ")
-        )).alias("position", "gram"),
-    )
-    return grams.join(keyed.select("label", "gram"), "gram").select("doc_id", "position", "label")
+    keyed = labels.select("label", tokens(F.col("label")).alias("words")).filter(F.size("words") > 0)
+    reach = (keyed.agg(F.max(F.size("words"))).first()[0] or 1) - 1
+    # Outer: an inner generator infers a filter that would cut the text a second time.
+    words = docs.select("doc_id", tokens(F.col("text")).alias("_t")).select("doc_id", "_t", F.posexplode_outer("_t").alias("place", "anchor"))
+    if reach == 0:  # labels of one word are their own anchors
+        alone = keyed.select("label", F.get("words", F.lit(0)).alias("anchor"))
+        return words.drop("_t").join(alone, "anchor").select("doc_id", F.col("place").alias("position"), "label")
+    before = F.least("place", F.lit(reach))
+    around = words.select("doc_id", "place", "anchor", before.alias("before"), F.slice("_t", F.col("place") - before + 1, F.lit(2 * reach + 1)).alias("around"))
+    met = around.join(_anchored(keyed), "anchor")
+    # A label that would start before the text is none; slice takes no place below 1.
+    same = F.when(F.col("before") >= F.col("at"), F.slice("around", F.col("before") - F.col("at") + 1, F.size("words")) == F.col("words"))
+    return met.filter(F.coalesce(same, F.lit(False))).select("doc_id", (F.col("place") - F.col("at")).alias("position"), "label")
 
 
 def extract_with_gazetteer(docs: DataFrame, labels: DataFrame, model: str = "gazetteer") -> DataFrame:
