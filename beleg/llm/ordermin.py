@@ -9,7 +9,7 @@ among those that either has.
 
 The order of documents (descending doc_id) is cut into buckets of neighbouring ids at approximate quantiles, so that the next
 document of each is found inside a bucket; the first document of each bucket is handed to the bucket before. Texts are
-shuffled once; all steps on words and features happen inside the row, without a shuffle or a sort that could spill.
+shuffled to their buckets (the check tool saw two shuffles of that size); all steps on words and features happen inside the row, without a shuffle or a sort that could spill.
 
 Defined results: null and empty texts, and texts of white space, have an empty fingerprint (all sketches ``-``); two empty ones are alike
 1.0. Null doc_ids come last; equal ids are ordered by a hash of the text, then the text. Of one document the next is itself.
