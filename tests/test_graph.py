@@ -12,7 +12,7 @@ from beleg.functions.iris import RDF_OBJECT, RDF_PREDICATE, RDF_SUBJECT, RDF_TYP
 from beleg.operators import graph_build as G, graph_clean, graph_overlay, graph_query
 from beleg.plans.build import build_graph
 from beleg.sources.records import DOCUMENT_SCHEMA, EXTRACTION_SCHEMA
-from beleg.sources.triples import from_ntriples, read_graph, to_ntriples, write_graph, write_overlay
+from beleg.sources.triples import from_ntriples, read_graph, read_ntriples, to_ntriples, write_graph, write_ntriples, write_overlay
 from beleg.sources.vocabulary import read_vocabulary, vocabulary_from_json
 
 KG, TERM, VOC = "https://example.org/kg/", "https://terms.example/t/", "https://terms.example/v#"
@@ -298,3 +298,14 @@ def test_line_exchange(spark):
     from beleg.sources.triples import unread_lines
 
     assert tuple(unread_lines(lines).first()) == (2, 1)
+
+
+def test_written_lines_are_compressed(spark, tmp_path):
+    made = graph(spark, *((f"entity/{i:016x}", "label", f'"wagon {i}"') for i in range(2000)))
+    write_ntriples(made, str(tmp_path / "lines"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == sorted(r.value for r in to_ntriples(made).collect())
+    assert sorted(read_ntriples(spark, str(tmp_path / "lines")).select("s", "p", "o").collect()) == sorted(made.select("s", "p", "o").collect())
+    written = sum(f.stat().st_size for f in (tmp_path / "lines").glob("part-*"))
+    assert written < to_ntriples(made).selectExpr("sum(length(value))").first()[0] / 5
+    odd = spark.createDataFrame([('_:a <http://k/p> "x > y\u0000 > " .\u2028',), ("<http://k/a> <http://k/p> _:b . # > c",)], "value string")
+    assert sorted(tuple(r) for r in from_ntriples(odd).select("s", "o", "o_kind").collect()) == [("_:a", "x > y\u0000 > ", "literal"), ("http://k/a", "_:b", "blank")]
