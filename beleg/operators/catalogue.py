@@ -14,6 +14,9 @@ entry overall. Candidates then come from two equi-joins that together lose no ac
   first) two sets that similar share a token within their first
   ``n - ceil(n t / (2 - t)) + 1`` tokens, so the common short words at the end of the order
   are not join keys.
+
+Every join here grows on both sides and is a sort-merge join: rows of repeated words compress so well in an
+exchange that its size says nothing about the memory a broadcast of them would take.
 """
 
 from __future__ import annotations
@@ -100,17 +103,17 @@ def _match(
     names, wanted = _wanted(doc_names, title)
     same_date = (
         wanted.filter(F.col("doc_date").isNotNull()).withColumn("token", F.explode(wanted_keys))
-        .join(_entries(publications, "pub_date").withColumn("token", F.explode(held_keys)).withColumnRenamed("pub_date", "doc_date"),
+        .join(_entries(publications, "pub_date").withColumn("token", F.explode(held_keys)).withColumnRenamed("pub_date", "doc_date").hint("merge"),
               ["doc_date", "token"])
     )
     any_date = (
         wanted.select("wanted_key", "wanted").dropDuplicates(["wanted_key"]).withColumn("token", F.explode(prefix_keys))
-        .join(_entries(publications).withColumn("token", F.explode(held_prefix)), "token")
+        .join(_entries(publications).withColumn("token", F.explode(held_prefix)).hint("merge"), "token")
     )
     dated = _hits(same_date, M.DATE_BONUS, "doc_date", "wanted_key", keep=keep)
     undated = _hits(any_date, 0.0, "wanted_key", keep=keep)
-    linked = names.join(dated.withColumnRenamed("hit", "_dated"), ["doc_date", "wanted_key"], "left").join(
-        undated.withColumnRenamed("hit", "_undated"), "wanted_key", "left"
+    linked = names.join(dated.withColumnRenamed("hit", "_dated").hint("merge"), ["doc_date", "wanted_key"], "left").join(
+        undated.withColumnRenamed("hit", "_undated").hint("merge"), "wanted_key", "left"
     ).withColumn("hit", F.greatest("_dated", "_undated"))
     return linked.select(
         "title", F.col("hit.pub_id").alias("pub_id"), F.round("hit.score", 6).alias("score"),
