@@ -309,3 +309,25 @@ def test_written_lines_are_compressed(spark, tmp_path):
     assert written < to_ntriples(made).selectExpr("sum(length(value))").first()[0] / 5
     odd = spark.createDataFrame([('_:a <http://k/p> "x > y\u0000 > " .\u2028',), ("<http://k/a> <http://k/p> _:b . # > c",)], "value string")
     assert sorted(tuple(r) for r in from_ntriples(odd).select("s", "o", "o_kind").collect()) == [("_:a", "x > y\u0000 > ", "literal"), ("http://k/a", "_:b", "blank")]
+
+
+def test_statements_are_reduced_within_their_document(spark):
+    """Spellings that coincide once written as IRIs count once, without an exchange of triples; ``apart`` gives the same rows."""
+    docs = spark.createDataFrame([(f"d{i}", f"s3://yard/{i}", "text/plain", i, " " if i % 2 else "x", None, {"a b": "1", "a-b": "1", "a.b": "2"}, "e", 1) for i in range(3)], DOCUMENT_SCHEMA)
+    facts = [("Wagon", "rolls on", "Track"), ("wagon ", "Rolls on", "track"), ("Wagon", "rolls-on", "Track"), ("Wagon", "rolls on", "Siding")]
+    found = spark.createDataFrame([(f"d{i}", ["Wagon"], facts[:i + 2], "m", datetime.datetime(2024, 1, 1), {"Wagon": 2}, 1) for i in range(3)], EXTRACTION_SCHEMA)
+    made = build_graph(docs, found, KG)
+    got = sorted(made.collect(), key=str)
+    assert len(got) == len(set(got)) and len(got) == 3 * (6 + 2) + 3 * 2 + (2 + 2 + 3) * 5 + (2 + 2 + 3) + (1 + 2 + 3) * 6 + (2 + 3 + 4)
+    assert got == sorted(build_graph(docs, found, KG, apart=True).collect(), key=str)
+    tables = G.graph_documents(docs, KG), G.graph_properties(docs, KG), G.graph_labels(found, KG), G.graph_entities(found, KG), G.graph_relations(found, KG)
+    assert got == sorted(G.expand_triples(KG, *tables).collect(), key=str)
+    assert "hashpartitioning(s#" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_readers_of_a_predicate_leave_the_rest_unread(spark):
+    docs = spark.createDataFrame([("d", "s3://yard/1", "text/plain", 1, "x", None, {}, "e", 1)], DOCUMENT_SCHEMA)
+    found = spark.createDataFrame([("d", ["Wagon"], [], "m", datetime.datetime(2024, 1, 1), {}, 1)], EXTRACTION_SCHEMA)
+    asked = graph_query.labels_containing(build_graph(docs, found, KG, apart=True), "WAG", KG)
+    assert [r.label for r in asked.collect()] == ["Wagon"]
+    assert "assertion/" not in asked._jdf.queryExecution().optimizedPlan().toString()
