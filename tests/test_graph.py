@@ -8,7 +8,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from beleg.checks import all_queries
+from beleg.checks.fixtures import BASE, Inputs
+from beleg.checks.graph_inputs import extraction_records
+from beleg.checks.registry import _STORED, runnable
 from beleg.functions.iris import RDF_OBJECT, RDF_PREDICATE, RDF_SUBJECT, RDF_TYPE
+from beleg.functions.text import strip
 from beleg.operators import graph_build as G, graph_clean, graph_overlay, graph_query
 from beleg.plans.build import build_graph
 from beleg.sources.records import DOCUMENT_SCHEMA, EXTRACTION_SCHEMA
@@ -331,3 +336,34 @@ def test_readers_of_a_predicate_leave_the_rest_unread(spark):
     asked = graph_query.labels_containing(build_graph(docs, found, KG, apart=True), "WAG", KG)
     assert [r.label for r in asked.collect()] == ["Wagon"]
     assert "assertion/" not in asked._jdf.queryExecution().optimizedPlan().toString()
+
+
+SMOKE = "/root/testdata/sf0.001"
+all_queries.load()
+
+
+def test_extraction_records_read_the_orders_once(spark):
+    """One scan and one join make what fixtures ``facts`` and ``named`` state in three; repeated rows of a document are merged."""
+    d = Inputs(spark, SMOKE)
+    assert extraction_records(d)._jdf.queryExecution().optimizedPlan().toString().count("o_orderdate#") <= 3
+    d._known["orders"] = d.orders.filter("o_orderkey < 60").unionByName(d.orders.filter("o_orderkey = 10")).unionByName(
+        d.orders.filter("o_orderkey = 10").withColumn("o_custkey", F.lit(-1).cast("bigint")))
+    wanted = {(r.doc_id, r.label): r.n for r in d.named.groupBy("doc_id", "label").agg(F.max_by("n", "listed").alias("n")).collect()}
+    got = extraction_records(d).select("doc_id", F.explode("mention_counts").alias("label", "n")).collect()
+    assert len(got) == len(wanted) and {(r.doc_id, r.label): r.n for r in got} == wanted
+    assert sorted(tuple(r) for r in extraction_records(d).select("doc_id", F.inline("relations")).collect()) == sorted(
+        tuple(r) for r in d.facts.select("doc_id", "s", "p", "o").collect())
+
+
+def test_strip_uses_no_pattern(spark):
+    texts = [chr(c) + "a" + chr(c) + "b" + chr(c) for c in (*range(0x2100), 0x3000, 0xFEFF)] + ["", " \u3000\n", "\u2003é\x1c", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = rows.select(strip(F.col("t")).alias("new"), F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "").alias("old"))
+    assert shown.filter("NOT new <=> old").count() == 0
+    assert "regexp" not in rows.select(strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_predicates_are_counted_without_a_stored_graph(spark):
+    before = set(_STORED)
+    assert runnable("a4_predicate_counts")(spark, SMOKE).filter("is_relation").count() > 0
+    assert not [k for k in set(_STORED) - before if k[2] == "graph"]
