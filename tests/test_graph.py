@@ -367,3 +367,9 @@ def test_predicates_are_counted_without_a_stored_graph(spark):
     before = set(_STORED)
     assert runnable("a4_predicate_counts")(spark, SMOKE).filter("is_relation").count() > 0
     assert not [k for k in set(_STORED) - before if k[2] == "graph"]
+
+
+def test_base_and_documents_in_one_reading(spark):
+    made = graph(spark, ("d1", "sourceUri", '"a"'), ("d2", "sourceUri", '"b"'), ("d1", "zz/sourceUri", '"c"'))
+    assert sorted(tuple(r) for r in graph_overlay.base_uris(made).collect()) == [(KG, 2), (KG + "zz/", 1)]
+    assert tuple(runnable("p17_detect_base_uri")(spark, SMOKE).first()) == (BASE, Inputs(spark, SMOKE).orders.count())
