@@ -373,3 +373,16 @@ def test_base_and_documents_in_one_reading(spark):
     made = graph(spark, ("d1", "sourceUri", '"a"'), ("d2", "sourceUri", '"b"'), ("d1", "zz/sourceUri", '"c"'))
     assert sorted(tuple(r) for r in graph_overlay.base_uris(made).collect()) == [(KG, 2), (KG + "zz/", 1)]
     assert tuple(runnable("p17_detect_base_uri")(spark, SMOKE).first()) == (BASE, Inputs(spark, SMOKE).orders.count())
+
+
+def test_drawing_types_meet_descriptions_in_one_aggregate(spark):
+    made = graph(
+        spark, ("doc/1", RDF_TYPE, "Document"), ("doc/1", "sourceUri", '"s3://yard/x.pdf"'), ("doc/1", "prop/Zone", '"north"'), ("doc/1", "mentions", "entity/1"),
+        ("entity/1", RDF_TYPE, "Entity"), ("entity/1", "label", '"Wagon"'), ("label/1", RDF_TYPE, "Label"), ("label/1", "labelText", '"Wagon"'),
+        ("entity/1", "hasLabelForm", "label/1"), ("doc/2", "prop/Zone", '"south"'))
+    nodes, edges = graph_query.drawing_tables(made)
+    assert sorted(tuple(r) for r in nodes.collect()) == [
+        ("Zone=north", "value", "Zone: north", "value"), (KG + "doc/1", "document", "x.pdf", "unknown"), (KG + "entity/1", "entity", "Wagon", "entity")]
+    assert sorted(tuple(r) for r in edges.collect()) == [("Zone=north", KG + "doc/1", "Zone"), (KG + "doc/1", KG + "entity/1", "mentions")]
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "regexp_extract" not in plan
