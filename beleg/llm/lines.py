@@ -97,29 +97,29 @@ LINE_SCHEMA = "k1 long, k2 long, doc_id long, line_no int, high long, low long,
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every line: its document's key, its number, its 128-bit id (null if blank), and its band keys where a batch first meets it."""
+    """Blank lines (null id), and of each batch the first place of every other line: its document's key, its number, its 128-bit
+    id, and its band keys. Further places of a line in its batch are left out: the first is before them whatever else is found."""
 
     def run(k1: list, k2: list, ids: list, texts: list) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {n: [] for n in ("k1", "k2", "doc_id", "line_no", "high", "low")}
-        first: dict[str, int] = {}
+        first: dict[str, tuple] = {}
+        places = []
         for a, b, i, text in zip(k1, k2, ids, texts):
             if text is None:
                 continue
-            lines = text.split("\n")
-            for n, raw in enumerate(lines):
-                line = normalise(raw)
-                high, low = _line_id(line) if line else (None, None)
-                if line:
-                    first.setdefault(line, len(out["high"]))
-                out["high"].append(high), out["low"].append(low), out["line_no"].append(n)
-            out["k1"] += [a] * len(lines)
-            out["k2"] += [b] * len(lines)
-            out["doc_id"] += [i] * len(lines)
-        bands: list = [None] * len(out["high"])
-        if first:
-            for at, keys in zip(first.values(), band_keys(list(first)).tolist()):
-                bands[at] = keys
-        yield out | {"bands": bands}
+            none, number = i is None, i or 0
+            for n, raw in enumerate(text.split("\n")):
+                line, place = normalise(raw), (none, number, n, a, b)
+                if not line:
+                    places.append(place)
+                elif (before := first.get(line)) is None or place < before:
+                    first[line] = place
+        found, blank = [_line_id(line) for line in first], [None] * len(places)
+        places = [*first.values(), *places]
+        yield {
+            "k1": [p[3] for p in places], "k2": [p[4] for p in places], "doc_id": [None if p[0] else p[1] for p in places],
+            "line_no": [p[2] for p in places], "high": [h for h, _ in found] + blank, "low": [low for _, low in found] + blank,
+            "bands": (band_keys(list(first)).tolist() if first else []) + blank,
+        }
 
     keyed = docs.select(*row_key("doc_id", "text"), F.col("doc_id").cast("long"), "text")
     return map_rows(keyed, LINE_SCHEMA, run, "k1", "k2", "doc_id", "text")
@@ -272,8 +272,10 @@ def dedupe_lines(docs: DataFrame, limit: float = SIMILARITY, filter_bits: int =
     """docs with the lines that stay; documents that lose all lines go, unless ``counts`` names columns for the number of
     lines and of removed lines: then every document is returned."""
     kept = kept_lines(docs, limit, filter_bits)
-    keyed = docs.select(F.struct("*").alias("row"), "text", content_hash(docs).alias("order"), *row_key("doc_id", "text")).join(kept, ["k1", "k2"], "left")
-    out = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("order")))
+    keyed = docs.select(F.struct("*").alias("row"), "text", content_hash(docs).alias("order"), *row_key("doc_id", "text"))
+    # Copies are numbered before the join, which then finds its rows in order: texts are sorted once.
+    numbered = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("order")))
+    out = numbered.join(kept, ["k1", "k2"], "left")
     none, lines = F.array().cast("array<int>"), F.split("text", "\n", -1)
     # All lines of a further copy are copies.
     stay = F.when(F.col("copy") == 1, F.coalesce("keep", none)).otherwise(none)

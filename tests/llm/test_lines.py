@@ -116,3 +116,15 @@ def test_a_text_of_many_lines(spark):
     text = "\n".join(own[:10_000] + ["", own[5].upper()] + own[10_000:])
     got = [r["text"] for r in lines.dedupe_lines(documents(spark, [(1, text)]), limit=0.999).collect()]
     assert got == ["\n".join(own[:10_000] + [""] + own[10_000:])]
+
+
+def test_line_table_has_each_line_of_a_batch_once(spark):
+    """The first place stays, wherever the batch has it: least doc_id, nulls last, then line number; blank lines all stay."""
+    docs = spark.createDataFrame([(None, "Same  line"), (7, "other\nsame line\n \nSAME line"), (3, "x\nsame line"), (9, "same line\n")], "doc_id long, text string").coalesce(1)
+    rows = lines.line_table(docs).collect()
+    same, blank = lines._line_id("same line"), [(r.doc_id, r.line_no) for r in rows if r.low is None]
+    assert [(r.doc_id, r.line_no) for r in rows if (r.high, r.low) == same] == [(3, 1)]
+    assert sorted(blank) == [(7, 2), (9, 1)] and len(rows) == 5
+    assert all((r.bands is None) == (r.low is None) for r in rows)
+    plan = lines.dedupe_lines(docs, counts=("n", "m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Window [row_number")
