@@ -15,7 +15,7 @@ from beleg.checks.registry import _STORED, runnable
 from beleg.functions.iris import RDF_OBJECT, RDF_PREDICATE, RDF_SUBJECT, RDF_TYPE
 from beleg.functions.text import strip
 from beleg.operators import graph_build as G, graph_clean, graph_overlay, graph_query
-from beleg.plans.build import build_graph
+from beleg.plans.build import build_graph, build_merged_graph
 from beleg.sources.records import DOCUMENT_SCHEMA, EXTRACTION_SCHEMA
 from beleg.sources.triples import from_ntriples, read_graph, read_ntriples, to_ntriples, write_graph, write_ntriples, write_overlay
 from beleg.sources.vocabulary import read_vocabulary, vocabulary_from_json
@@ -386,3 +386,32 @@ def test_drawing_types_meet_descriptions_in_one_aggregate(spark):
     assert sorted(tuple(r) for r in edges.collect()) == [("Zone=north", KG + "doc/1", "Zone"), (KG + "doc/1", KG + "entity/1", "mentions")]
     plan = nodes._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "regexp_extract" not in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_entities_merge_before_triples_are_made(spark, seed):
+    rng = random.Random(seed)
+    names = ["Turnout", " weiche", "WEICHE", "gauge", "horaire", "fahrplan", "Fahrplan ", "point", "Shed", "shed ", "Crane", "", None]
+    verbs = ["rolls on", "Rolls on", "runs along", " beside", "label", "near", "Near", None]
+    at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    docs, extractions = [], []
+    for i in range(12):
+        docs.append((f"n{i}", f"s3://yard/n{i}.txt", "text/plain", 5, "x", False, {"Zone": "north"}, "e", 1))
+        for seq in range(rng.randint(0, 2)):
+            entities = rng.choices(names, k=rng.randint(0, 5))
+            relations = [(rng.choice(names), rng.choice(verbs), rng.choice(names)) for _ in range(rng.randint(0, 9))]
+            counts = {name: rng.randint(0, 4) for name in names if name is not None and rng.random() < 0.7}
+            extractions.append((f"n{i}", entities, relations, "m", at, counts, seq))
+    docs = spark.createDataFrame(docs, "doc_id string, source_uri string, content_type string, size_bytes bigint, text string, text_truncated boolean, properties map<string,string>, etag string, ingest_seq bigint")
+    extractions = spark.createDataFrame(extractions, "doc_id string, entities array<string>, relations array<struct<s:string,p:string,o:string>>, model string, extracted_at timestamp, mention_counts map<string,bigint>, ingest_seq bigint")
+    vocab = vocabulary(spark)
+    by_passes = graph_clean.consolidate_entities(graph_clean.canonicalize_predicates(build_graph(docs, extractions, KG), vocab, KG), vocab, KG)
+    merged = build_merged_graph(docs, extractions, vocab, KG)
+    assert Counter(map(tuple, merged.collect())) == Counter(map(tuple, by_passes.collect()))
+    assert merged.filter(F.col("p") == KG + "mentions").count() > 0
+
+
+def test_consolidation_stores_no_raw_graph(spark):
+    before = set(_STORED)
+    assert runnable("g15_consolidate_entities")(spark, SMOKE).count() > 0
+    assert not [k for k in set(_STORED) - before if k[2] in ("graph", "folded")]
