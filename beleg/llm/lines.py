@@ -19,7 +19,7 @@ table gives an empty result. Other columns are passed through, whatever their na
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,6 @@ BANDS = 8
 SIMILARITY = 0.8
 FILTER_BITS = 1 << 23
 BLOCK_CHARS = 100_000
-SMALL_GROUP = 64  # lines that are compared as sets; more as rows of a bit matrix
 _CHUNK = 1 << 16  # code points whose minima are taken at a time: they stay in a core's cache
 
 _rng = np.random.default_rng(8)
@@ -48,14 +47,35 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+# Every other white space character; a line feed ends a line.
+_ODD_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
+def normalised_lines(text: str) -> list[str]:
+    """``normalise`` of each line. Most texts have single spaces between words only: they are lower-cased whole and then cut."""
+    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+    if odd or any(c in text for c in _ODD_SPACES):
+        return [normalise(line) for line in text.split("\n")]
+    return text.lower().split("\n")
+
+
+def _rolled(codes: np.ndarray, factor: int) -> np.ndarray:
+    """codes as digits to the base ``factor``, SHINGLE = 8 of them from every place on, modulo 2^64; two, four, then eight at once."""
+    for step in (1, 2, 4):
+        codes = codes[:-step] * np.uint64(pow(factor, step, 1 << 64)) + codes[step:]
+    return codes
+
+
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lines, one line after another, short ones filled up to a shingle, and the lines' lengths."""
+    padded = [line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines]
+    return np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.array([len(p) for p in padded])
+
+
 def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the lines, one line after another, and where each line starts."""
-    padded = [line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines]
-    lengths = np.array([len(p) for p in padded])
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    rolled = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
-    for j in range(SHINGLE):
-        rolled = rolled * np.uint64(0x100000001B3) + codes[j:len(codes) - SHINGLE + 1 + j]
+    codes, lengths = _codes(lines)
+    rolled = _rolled(codes.astype(np.uint64), 0x100000001B3)
     whole = np.ones(len(codes), dtype=bool)
     ends = np.cumsum(lengths)
     for j in range(1, SHINGLE):
@@ -88,9 +108,13 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _line_id(line: str) -> tuple[int, int]:
-    number = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    high, low = number >> 64, number & ((1 << 64) - 1)
-    return high - (1 << 64) if high >> 63 else high, low - (1 << 64) if low >> 63 else low
+    return tuple(_line_ids([line])[0].tolist())
+
+
+def _line_ids(lines: Iterable[str]) -> np.ndarray:
+    """A row of two signed 64-bit numbers, high and low, for each line."""
+    digests = b"".join(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines)
+    return np.frombuffer(digests, dtype=">i8").astype(np.int64).reshape(-1, 2)
 
 
 LINE_SCHEMA = "k1 long, k2 long, doc_id long, line_no int, high long, low long, bands array<long>"
@@ -107,18 +131,20 @@ def line_table(docs: DataFrame) -> DataFrame:
             if text is None:
                 continue
             none, number = i is None, i or 0
-            for n, raw in enumerate(text.split("\n")):
-                line, place = normalise(raw), (none, number, n, a, b)
+            for n, line in enumerate(normalised_lines(text)):
+                place = (none, number, n, a, b)
                 if not line:
                     places.append(place)
                 elif (before := first.get(line)) is None or place < before:
                     first[line] = place
-        found, blank = [_line_id(line) for line in first], [None] * len(places)
+        found, blank = _line_ids(first), len(places)
         places = [*first.values(), *places]
+        high, low = (pa.concat_arrays([pa.array(found[:, k]), pa.nulls(blank, pa.int64())]) for k in (0, 1))
+        keys = band_keys(list(first)).ravel()
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), pa.array(keys))
         yield {
             "k1": [p[3] for p in places], "k2": [p[4] for p in places], "doc_id": [None if p[0] else p[1] for p in places],
-            "line_no": [p[2] for p in places], "high": [h for h, _ in found] + blank, "low": [low for _, low in found] + blank,
-            "bands": (band_keys(list(first)).tolist() if first else []) + blank,
+            "line_no": [p[2] for p in places], "high": high, "low": low, "bands": pa.concat_arrays([bands, pa.nulls(blank, bands.type)]),
         }
 
     keyed = docs.select(*row_key("doc_id", "text"), F.col("doc_id").cast("long"), "text")
@@ -135,15 +161,11 @@ def _texts_of(docs: DataFrame, needed: DataFrame, filter_bits: int) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(texts: list) -> Iterator[dict[str, list]]:
-        seen: dict[int, str] = {}
-        for text in texts:
-            for raw in text.split("\n") if text else ():
-                if line := normalise(raw):
-                    low = _line_id(line)[1]
-                    at = low % filter_bits
-                    if (int(sent.value[at >> 6]) >> (at & 63)) & 1:
-                        seen[low] = line
-        yield {"id": list(seen), "line": list(seen.values())}
+        lines = list(dict.fromkeys(line for text in texts if text for line in normalised_lines(text) if line))
+        low = _line_ids(lines)[:, 1]
+        at = low % filter_bits
+        wanted = np.flatnonzero((sent.value[at >> 6] >> (at & 63)) & 1)
+        yield {"id": low[wanted], "line": [lines[k] for k in wanted]}
 
     return map_rows(docs, "id long, line string", run, "text").join(needed, "id", "left_semi").distinct()
 
@@ -152,18 +174,56 @@ def _features(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _feature_arrays(lines: list[str]) -> list[np.ndarray]:
+    """The features of each line as ascending numbers, equal in two of these lines for equal features only.
+
+    Of lines with fewer than 256 kinds of characters a shingle is one number of 64 bits, a byte for each character; 0 fills up
+    short lines. Other lines' features are numbered.
+    """
+    codes, lengths = _codes(lines)
+    kinds = 0
+    if codes.max(initial=0) > 255:
+        alphabet, codes = np.unique(codes, return_inverse=True)
+        kinds = len(alphabet)
+        codes = codes + (alphabet[0] != 0)
+    if kinds > 255 or any("\0" in line for line in lines):
+        numbers: dict[str, int] = {}
+        return [np.array(sorted(numbers.setdefault(f, len(numbers)) for f in _features(line)), dtype=np.uint64) for line in lines]
+    packed, out = _rolled(codes.astype(np.uint64), 256), []
+    for end, length in zip(np.cumsum(lengths).tolist(), lengths.tolist()):
+        found = np.sort(packed[end - length:end - SHINGLE + 1])
+        new = np.ones(len(found), dtype=bool)
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        out.append(found[new])
+    return out
+
+
+def _n_common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _similar(limit: float):
     """Keeps the pairs whose exact Jaccard similarity reaches the limit; one pair's features are held at a time."""
 
     def run(a: list, b: list, left: list, right: list) -> Iterator[dict[str, list]]:
-        links, last, x = [], None, set()
-        for i, j, s, t in zip(a, b, left, right):
-            if i != last:
-                last, x = i, _features(s)
-            y = _features(t)
-            common = len(x & y)
-            if common >= limit * (len(x) + len(y) - common):
-                links.append((i, j))
+        links, at, x = [], 0, None
+        while at < len(a):
+            end, size = at, 0
+            while end < len(a) and size < _CHUNK * 4:
+                size += len(right[end]) + (len(left[end]) if end == at or a[end] != a[end - 1] else 0)
+                end += 1
+            # Each least line, then those it meets.
+            new = [k == at or a[k] != a[k - 1] for k in range(at, end)]
+            features = iter(_feature_arrays([line for k, first in zip(range(at, end), new) for line in ((left[k], right[k]) if first else (right[k],))]))
+            for k, first in zip(range(at, end), new):
+                x = next(features) if first else x
+                y = next(features)
+                least, most = sorted((len(x), len(y)))
+                if least >= limit * most and (common := _n_common(x, y)) >= limit * (least + most - common):
+                    links.append((a[k], b[k]))
+            at = end
         yield {"a": [p[0] for p in links], "b": [p[1] for p in links]}
 
     return run
@@ -178,28 +238,27 @@ def _forest(ids: list[int], components: list[int], lines: list[str], limit: floa
     root = np.array([number[c] for c in components])
     if len(number) < 2:
         return []
-    sets = [_features(line) for line in lines]
-    sizes = np.array([len(x) for x in sets])
-    small, bits = len(sets) <= SMALL_GROUP, None
-    if not small:
-        # Only shingles of several lines can be common; they are the columns of a bit matrix.
-        seen: dict[str, int] = {}
-        for features in sets:
-            for f in features:
-                seen[f] = seen.get(f, 0) + 1
-        columns = {f: k for k, f in enumerate(f for f, n in seen.items() if n > 1)}
-        bits = np.zeros((len(sets), -(-max(1, len(columns)) // 64)), dtype=np.uint64)
-        for row, features in zip(bits, sets):
-            at = np.array([columns[f] for f in features if f in columns], dtype=np.int64)
-            np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    features = _feature_arrays(lines)
+    sizes = np.array([len(x) for x in features])
+    # Only shingles of several lines can be common; they are the columns of a bit matrix.
+    shingles, rows = np.concatenate(features), np.repeat(np.arange(len(features)), sizes)
+    order = np.argsort(shingles)
+    shingles, rows = shingles[order], rows[order]
+    column = np.cumsum(np.concatenate(([False], shingles[1:] != shingles[:-1])))
+    several = np.bincount(column) > 1
+    shared, column = several[column], (np.cumsum(several) - 1)[column]
+    rows, column = rows[shared], column[shared]
+    width = int(several.sum()) // 64 + 1
+    bits = np.zeros(len(features) * width, dtype=np.uint64)
+    np.bitwise_or.at(bits, rows * width + (column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    bits = bits.reshape(len(features), width)
     links = []
-    for k in range(len(sets)):
+    for k in range(len(features)):
         least, most = np.minimum(sizes[k + 1:], sizes[k]), np.maximum(sizes[k + 1:], sizes[k])
         others = np.flatnonzero((root[k + 1:] != root[k]) & (least >= limit * most)) + k + 1
-        if small:
-            common = np.array([len(sets[k] & sets[other]) for other in others], dtype=np.int64)
-        else:
-            common = np.bitwise_count(bits[others] & bits[k]).sum(axis=1, dtype=np.int64)
+        if not len(others):
+            continue
+        common = np.bitwise_count(bits[others] & bits[k]).sum(axis=1, dtype=np.int64)
         for other in others[common >= limit * (sizes[others] + sizes[k] - common)]:
             if root[other] != root[k]:
                 root[root == root[other]] = root[k]
@@ -272,7 +331,9 @@ def dedupe_lines(docs: DataFrame, limit: float = SIMILARITY, filter_bits: int =
     """docs with the lines that stay; documents that lose all lines go, unless ``counts`` names columns for the number of
     lines and of removed lines: then every document is returned."""
     kept = kept_lines(docs, limit, filter_bits)
-    keyed = docs.select(F.struct("*").alias("row"), "text", content_hash(docs).alias("order"), *row_key("doc_id", "text"))
+    # Counted where the text is read: behind the join each use would count again.
+    n_lines_of = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    keyed = docs.select(F.struct("*").alias("row"), "text", n_lines_of.alias("n_all"), content_hash(docs).alias("order"), *row_key("doc_id", "text"))
     # Copies are numbered before the join, which then finds its rows in order: texts are sorted once.
     numbered = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("order")))
     out = numbered.join(kept, ["k1", "k2"], "left")
@@ -281,7 +342,7 @@ def dedupe_lines(docs: DataFrame, limit: float = SIMILARITY, filter_bits: int =
     stay = F.when(F.col("copy") == 1, F.coalesce("keep", none)).otherwise(none)
     # The text is cut once, as the one element of an array, and lines are picked from that; inside the inner function it would be cut for each line.
     picked = F.transform(F.array(lines), lambda cut: F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))
-    n_all = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_all = F.col("n_all")
     text = F.when(F.col("text").isNotNull(), F.when(F.size(stay) == n_all, F.col("text")).otherwise(F.get(picked, F.lit(0))))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_all - F.coalesce("n_blank", F.lit(0)))
     n_stay = F.greatest(F.size(stay) - F.coalesce("n_blank", F.lit(0)), F.lit(0))

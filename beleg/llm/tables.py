@@ -39,8 +39,8 @@ def content_hash(df: DataFrame) -> Column:
     return F.xxhash64(*(F.to_json(F.struct(c)) if any(u in kind for u in unhashable) else c for c, (_, kind) in zip(columns, df.dtypes)))
 
 
-def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[..., Iterator[dict[str, list]]], *columns: str) -> DataFrame:
-    """Arrow batches through a function that gets the named columns as lists and yields dicts of lists.
+def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[..., Iterator[dict]], *columns: str) -> DataFrame:
+    """Arrow batches through a function that gets the named columns as lists and yields dicts of lists (NumPy or Arrow arrays).
 
     Only the named columns are sent to Python.
     """
@@ -50,6 +50,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[...,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for out in function(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+                columns = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -128,3 +128,20 @@ def test_line_table_has_each_line_of_a_batch_once(spark):
     assert all((r.bands is None) == (r.low is None) for r in rows)
     plan = lines.dedupe_lines(docs, counts=("n", "m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftOuter") < plan.index("Window [row_number")
+
+
+def test_numbers_stand_for_shingles_exactly():
+    rng = random.Random(5)
+    alphabets = ("abc ", "aé ß", "ab\0c", "a–b c", "a😀b", "\ud800ab", " \t\x85\xa0a Σσ\n", "".join(map(chr, range(1, 300))))
+    for alphabet in alphabets * 30:
+        made = ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(6)]
+        made += [line[:-1] or "a" for line in made]
+        text = "\n".join(made)
+        assert lines.normalised_lines(text) == [lines.normalise(line) for line in text.split("\n")]
+        numbers, features = lines._feature_arrays(made), [lines._features(line) for line in made]
+        assert [len(x) for x in numbers] == [len(x) for x in features]
+        pairs = [(i, j) for i in range(len(made)) for j in range(i)]
+        assert [lines._n_common(numbers[i], numbers[j]) for i, j in pairs] == [len(features[i] & features[j]) for i, j in pairs]
+        left, right = ([made[p[k]] for p in pairs] for k in (0, 1))
+        found = next(lines._similar(0.6)([i for i, _ in pairs], [j for _, j in pairs], left, right))
+        assert list(zip(found["a"], found["b"])) == [(i, j) for i, j in pairs if len(features[i] & features[j]) >= 0.6 * len(features[i] | features[j])]
