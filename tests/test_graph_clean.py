@@ -47,7 +47,17 @@ def test_orphans_go_before_triples_are_made(spark, seed):
     assert stages.cleaned.count() < stages.merged.count() - 3
 
 
-@pytest.mark.parametrize("query", ["g17_clean_graph"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_report_counts_as_the_stages_do(spark, seed):
+    docs, found, vocab = harbour(spark, seed)
+    stages = graph_clean.clean_stages(build.build_graph(docs, found, KG), vocab, KG)
+    report, by_stages = (r.first().asDict() for r in (build.build_clean_report(docs, found, vocab, KG), graph_clean.clean_report(stages, vocab, KG)))
+    assert report == by_stages
+    assert report["graph_triples"] == stages.source.count() and report["clean_triples"] == stages.cleaned.count()
+    assert min(report[name] for name in ("entities_dropped", "entities_flagged", "alias_groups_merged", "predicate_edges_rewritten")) > 0
+
+
+@pytest.mark.parametrize("query", ["g17_clean_graph", "a12_clean_report"])
 def test_cleaning_stores_no_graph(spark, query):
     before = set(_STORED)
     assert runnable(query)(spark, SMOKE).count() > 0
