@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from beleg.checks.fixtures import Inputs
 from beleg.checks.oracle_parts import bm25, sql
-from beleg.checks.registry import listed, query
+from beleg.checks.registry import listed, query, stored
 from beleg.functions import markers as M
 from beleg.operators import annotate, charts, ranking, retrieval
 from beleg.operators.documents import chunk_documents
@@ -403,7 +403,8 @@ def timeline(d: Inputs) -> DataFrame:
     FROM best_hits JOIN year_questions USING (query_id) GROUP BY request_id""",
     requests=REQUESTS.replace("{region}", "region"), year_questions=TIMELINE_QUERIES, **core_ctes("year_questions", "line_passages", 3)))
 def timeline_summary(d: Inputs) -> DataFrame:
-    return plans.timeline(d.spark.sql(REQUESTS, region=d.region), d.line_passages).summary
+    """The passages are numbered and written once, as a corpus is stored before it is searched: a search reads them three times."""
+    return plans.timeline(d.spark.sql(REQUESTS, region=d.region), stored(d, "line_passages", lambda: d.line_passages)).summary
 
 
 @query("r6_rerank", sql(r"""
