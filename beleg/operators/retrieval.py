@@ -48,9 +48,9 @@ def retrieve(
     ``queries(query_id, question)``, ``passages(passage_id, text)``; ``corpus`` saves one scan
     when its statistics are at hand. Words that no question
     uses are dropped before any exchange; what is shuffled is one row per passage and
-    question word, already counted map-side. No word is cut for being frequent: the join on
-    the word leaves its strategy to Spark (broadcast under its size threshold, else a
-    sort-merge join whose hot words adaptive execution splits).
+    question word, already counted map-side. No word is cut for being frequent: the weights of
+    the asked words, one row per question and word, go to all tasks. Left to choose by sizes at
+    run time, Spark sent the matched passages instead and scored them in one task.
     """
     terms = query_terms(queries)
     # An inner explode would have its input tokenised again in an inferred "not empty" filter.
@@ -66,7 +66,7 @@ def retrieve(
     ).agg(F.count("*").alias("tf"))
     # Reading ``tf`` keeps this branch equal to the other one, so their exchange is shared.
     frequency = counted.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    weights = counted.join(terms.join(frequency, "token"), "token").withColumn("units", bm25_units(F.col("tf"), F.col("length"), F.col("df"), total, mean))
+    weights = counted.join(F.broadcast(terms.join(frequency, "token")), "token").withColumn("units", bm25_units(F.col("tf"), F.col("length"), F.col("df"), total, mean))
     scored = weights.groupBy("query_id", "passage_id").agg((F.sum("units") / UNITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("passage_id").asc())
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= breadth)
